@@ -1,0 +1 @@
+"""Empty on purpose: every load in this library is a batch, so there is nothing to stream."""
