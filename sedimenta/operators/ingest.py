@@ -65,8 +65,8 @@ def typed(source: DataFrame, mappings: Sequence[ColumnMapping]) -> DataFrame:
         if not m.nullable:
             failed = failed | raw.isNull()
         errors.append(F.when(failed, F.lit(m.target_name)))
-    original = F.to_json(F.struct(*[source[m.source_name].cast("string") for m in mappings]),
-                         {"ignoreNullFields": "false"})
+    texts = [source[m.source_name].cast("string").alias(m.source_name) for m in mappings]
+    original = F.to_json(F.struct(*texts), {"ignoreNullFields": "false"})
     flagged = F.array_compact(F.array(*errors))
     return source.select(
         *values, flagged.alias(ERRORS), F.when(F.size(flagged) > 0, original).alias("_source")

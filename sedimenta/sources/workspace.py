@@ -33,4 +33,4 @@ def stash(df: DataFrame, name: str = "part") -> DataFrame:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; very large when the source does not know its size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
