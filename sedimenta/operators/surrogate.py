@@ -44,8 +44,8 @@ def ensure_key_table(
     return table.unionByName(member)
 
 
-def number_distinct(df: DataFrame, column: str, position: str = "position") -> DataFrame:
-    """Positions 1..n of the distinct values of a frame, in sort order.
+def number_distinct(df: DataFrame, *columns: str, position: str = "position") -> DataFrame:
+    """Positions 1..n of the rows of a frame, in the order of columns that tell them apart.
 
     Equals ``dense_rank`` over the whole frame, without a window that puts all rows into one
     task: values are range-partitioned and sorted, written once so that the sampled range
@@ -54,8 +54,8 @@ def number_distinct(df: DataFrame, column: str, position: str = "position") -> D
     """
     spark = df.sparkSession
     ordered = (
-        df.repartitionByRange(column)
-        .sortWithinPartitions(column)
+        df.repartitionByRange(*columns)
+        .sortWithinPartitions(*columns)
         .withColumn("_id", F.monotonically_increasing_id())
     )
     fixed = stash(ordered, "ranked")
