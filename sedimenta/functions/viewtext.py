@@ -25,7 +25,7 @@ _CTE = rf"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)({_ID})\s*(?:\([^()]*\))?\s*AS\
 _COMMENTS = r"""(?s)('[^']*+(?:''[^']*+)*+'|"[^"]*+")|--[^\n]*+|/\*.*?\*/"""
 _LITERAL = r"'[^']*+(?:''[^']*+)*+'"
 _FROM_IN_CALL = r"(?i)\b(EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*\([^()]*?\bFROM\b"
-_TOKENS = rf"""(?s){_LITERAL}|"[^"]*+"|[\w#$]++|\s++|."""
+_TOKENS = rf"""(?s)--[^\n]*+|/\*.*?\*/|{_LITERAL}|"[^"]*+"|[\w#$]++|\s++|."""
 _CALL_TYPE = r"(?i)\bAS\s+[A-Za-z]\w*(?:\s*\([\d\s,]*\))?"
 # Words in an expression that are not column names.
 _WORDS = [
@@ -93,7 +93,7 @@ def select_items(ddl: Column) -> Column:
 
     The tokens are folded once; ``phase`` is 0 before the list, 1 within it, 2 after it.
     """
-    tokens = F.regexp_extract_all(strip_comments(ddl), F.lit(_TOKENS), 0)
+    tokens = F.regexp_extract_all(ddl, F.lit(_TOKENS), 0)
     start = F.struct(
         F.lit(0).alias("depth"),
         F.lit(0).alias("phase"),
@@ -113,7 +113,7 @@ def select_items(ddl: Column) -> Column:
             depth.alias("depth"),
             F.when(begins, 1).when(ends, 2).otherwise(s["phase"]).alias("phase"),
             F.when(begins | ends | comma, "")
-            .when(s["phase"] == 1, F.concat(s["item"], t))
+            .when(s["phase"] == 1, F.concat(s["item"], F.when(t.rlike(r"^(--|/\*)"), " ").otherwise(t)))
             .otherwise(s["item"])
             .alias("item"),
             F.when(ends | comma, done).otherwise(s["items"]).alias("items"),
@@ -152,9 +152,17 @@ def split_alias(item: Column) -> tuple[Column, Column]:
     return F.trim(expression), F.regexp_replace(target, '"', "")
 
 
+def is_column(expression: Column) -> Column:
+    """Whether an expression is nothing but a column reference."""
+    name = rf"^{_ID}(?:\s*\.\s*(?:{_ID}|\*))*$"
+    return expression.rlike(name) & ~F.upper(expression).isin(_WORDS)
+
+
 def column_refs(expression: Column) -> Column:
     """Distinct (alias, column) references of an expression; alias is null where none is given."""
-    bare = F.regexp_replace(F.regexp_replace(expression, _LITERAL, "''"), _CALL_TYPE, " ")
+    # Tables of a subquery are no columns; FROM inside a call is dropped before they are cut.
+    bare = F.regexp_replace(_code(expression), _TABLES, " ")
+    bare = F.regexp_replace(bare, _CALL_TYPE, " ")
     names = F.regexp_extract_all(
         bare, F.lit(rf"(?<![\w.$#\"])({_ID}(?:\s*\.\s*(?:{_ID}|\*))*+)(?!\s*\()"), 1
     )

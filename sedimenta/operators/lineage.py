@@ -154,7 +154,7 @@ def view_columns(views: DataFrame) -> DataFrame:
     """
     items = _items(views)
     upper = F.upper("expression")
-    simple = F.col("expression").rlike(r'^[\w#$"]+(\s*\.\s*([\w#$"]+|\*))*$') & ~F.col("expression").rlike(r"^\d")
+    simple = viewtext.is_column(F.col("expression"))
     kind = (
         F.when(F.col("expression") == "*", "ALL_COLUMNS")
         .when(simple, "DIRECT")
