@@ -376,7 +376,9 @@ def surrogate_keys_after_existing(spark, sf_dir):
 def surrogate_keys_from_source_seeded(spark, sf_dir):
     keys = surrogate.ensure_key_table(spark, CTX, seed=True)
     source = table(spark, sf_dir, "orders")
-    fresh = surrogate.generate_surrogate_keys(source, keys, ["o_orderkey"], "SALES", CTX, from_staging=False)
+    fresh = surrogate.generate_surrogate_keys(
+        source, keys, ["o_orderkey"], "SALES", CTX, from_staging=False, one_task_bytes=0
+    )
     return _key_rows(fresh)
 
 
@@ -397,7 +399,7 @@ def surrogate_keys_composite(spark, sf_dir):
 @query("SELECT DISTINCT text, DENSE_RANK() OVER (ORDER BY text) AS position FROM documents WHERE text IS NOT NULL")
 def distinct_text_positions(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("text").filter(F.col("text").isNotNull()).distinct()
-    return surrogate.number_distinct(texts, "text")
+    return surrogate.number_distinct(texts, "text", one_task_bytes=0)
 
 
 @query("""

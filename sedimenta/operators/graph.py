@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators.lineage import EXTERNAL
 from sedimenta.operators.surrogate import number_distinct
-from sedimenta.sources.workspace import stash
+from sedimenta.sources.workspace import folder, stash, stash_counted, write_counted
 
 MAX_DEPTH = 12
 
@@ -42,26 +42,26 @@ def reachable(
     ``roots`` has one column ``root_id``. Cycles end by themselves because a node is visited
     once per root. External objects are reached but not followed.
     """
+    spark = edges.sparkSession
     steps = stash(_neighbours(edges, direction).distinct(), "steps")
-    frontier = stash(
-        roots.select("root_id", F.col("root_id").alias("node_id")).distinct().withColumn("distance", F.lit(0)),
-        "frontier",
-    )
-    levels = [frontier]
+    base = folder(spark, "reached")
+    levels = spark.read.schema("root_id string, node_id string, distance int")
+    start = roots.select("root_id", F.col("root_id").alias("node_id")).distinct()
+    found = write_counted(start, f"{base}/distance=0")
     for distance in range(1, depth + 1):
+        if not found:
+            break
+        reached = levels.parquet(base)
         following = (
-            frontier.filter(~F.startswith(F.col("node_id"), F.lit(EXTERNAL)))
+            reached.filter(F.col("distance") == distance - 1)
+            .filter(~F.startswith(F.col("node_id"), F.lit(EXTERNAL)))
             .join(steps, "node_id")
             .select("root_id", F.col("next_id").alias("node_id"))
             .distinct()
-            .join(_union(levels).select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
-            .withColumn("distance", F.lit(distance))
+            .join(reached.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
         )
-        frontier = stash(following, "frontier")
-        if frontier.isEmpty():
-            break
-        levels.append(frontier)
-    return _union(levels)
+        found = write_counted(following, f"{base}/distance={distance}")
+    return levels.parquet(base)
 
 
 def dataflow_edges(
@@ -101,7 +101,7 @@ def load_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     that no round removes belong to nodes in or behind a cycle; their level is null.
     """
     known = nodes.select("node_id").distinct()
-    left = stash(
+    left, size = stash_counted(
         edges.filter(F.col("parent_id") != F.col("child_id"))
         .select("parent_id", "child_id")
         .distinct()
@@ -109,14 +109,12 @@ def load_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         .join(known.select(F.col("node_id").alias("child_id")), "child_id", "left_semi"),
         "edges",
     )
-    size = left.count()
     children = [left.select("child_id", F.lit(1).alias("level")).limit(0)]
     while size:
         # Any node that is a child this round has at least this level.
         children.append(left.select("child_id", F.lit(len(children)).alias("level")))
         parents = left.select(F.col("child_id").alias("parent_id")).distinct()
-        left = stash(left.join(parents, "parent_id", "left_semi"), "edges")
-        rest = left.count()
+        left, rest = stash_counted(left.join(parents, "parent_id", "left_semi"), "edges")
         if rest == size:
             break
         size = rest

@@ -15,6 +15,7 @@ from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique
 from sedimenta.sources.workspace import stash
 
 ACTION = "_action"
+CLOSED_NOW = "_closed_now"
 
 
 def current_rows(history: DataFrame, cfg: Scd2Config = Scd2Config()) -> DataFrame:
@@ -110,11 +111,11 @@ def mark_closed(
     }
     out = [F.when(F.col("_now"), updates[c]).otherwise(F.col(c)).alias(c) if c in updates else F.col(c)
            for c in history.columns]
-    return joined.withColumn("_now", closes).select(*out, F.col("_now").alias("_closed_now"))
+    return joined.withColumn("_now", closes).select(*out, F.col("_now").alias(CLOSED_NOW))
 
 
 def close_versions(history: DataFrame, changed: DataFrame, spec: LoadSpec, ctx: RunContext) -> DataFrame:
-    return mark_closed(history, changed, spec, ctx).drop("_closed_now")
+    return mark_closed(history, changed, spec, ctx).drop(CLOSED_NOW)
 
 
 def new_versions(
@@ -162,24 +163,48 @@ def _lookup_columns(spec: LoadSpec) -> list[str]:
 
 @dataclass(frozen=True)
 class Scd2Result:
-    """Parts of the new table version.
+    """Outcome of a load.
 
-    ``current`` replaces the current rows, ``closed`` is appended to the historical rows,
-    ``past`` are the historical rows the load leaves as they are.
+    ``rows`` holds every row that was open before plus the inserted ones, with a boolean
+    ``_closed_now``; it comes from one pass over the open rows and can be written in one
+    job, split by that column. ``past`` are the rows the load leaves as they are.
     """
 
+    rows: DataFrame
     inserted: DataFrame
-    kept: DataFrame
-    closed: DataFrame
     past: DataFrame
 
+    @property
+    def closed(self) -> DataFrame:
+        """Versions to append to the historical rows."""
+        return self.rows.filter(CLOSED_NOW).drop(CLOSED_NOW)
+
     @property
     def current(self) -> DataFrame:
-        return self.kept.unionByName(self.inserted)
+        """Rows that replace the open rows."""
+        return self.rows.filter(~F.col(CLOSED_NOW)).drop(CLOSED_NOW)
 
     @property
     def history(self) -> DataFrame:
-        return self.past.unionByName(self.closed).unionByName(self.current)
+        return self.past.unionByName(self.rows.drop(CLOSED_NOW))
+
+
+def combine(
+    tagged: DataFrame,
+    history: DataFrame,
+    spec: LoadSpec,
+    ctx: RunContext,
+    key_table: DataFrame | None = None,
+    hot_min_bytes: int = MIN_BYTES,
+) -> Scd2Result:
+    """Close and insert versions for a classified batch."""
+    tagged = tagged.filter(F.col(ACTION) != Action.UNCHANGED)
+    changed = tagged.filter(F.col(ACTION) == Action.CHANGED)
+    is_open = F.coalesce(open_rows(history, spec), F.lit(False))
+    marked = mark_closed(history.filter(is_open), changed, spec, ctx, hot_min_bytes)
+    inserted = new_versions(tagged, spec, ctx, key_table)
+    rows = marked.unionByName(inserted.withColumn(CLOSED_NOW, F.lit(False)))
+    return Scd2Result(rows=rows, inserted=inserted, past=history.filter(~is_open))
 
 
 def apply(
@@ -197,19 +222,10 @@ def apply(
     versions are never read. ``durable`` writes the new and changed batch rows once to the
     shared folder, so that closing and inserting do not repeat the classification.
     """
-    cfg = spec.scd2
     tagged = classify(staging, history, spec, hot_min_bytes).filter(F.col(ACTION) != Action.UNCHANGED)
     if durable:
         tagged = stash(tagged, "classified")
-    changed = tagged.filter(F.col(ACTION) == Action.CHANGED)
-    is_open = F.coalesce(open_rows(history, spec), F.lit(False))
-    marked = mark_closed(history.filter(is_open), changed, spec, ctx, hot_min_bytes)
-    return Scd2Result(
-        inserted=new_versions(tagged, spec, ctx, key_table),
-        kept=marked.filter(~F.col("_closed_now")).drop("_closed_now"),
-        closed=marked.filter("_closed_now").drop("_closed_now"),
-        past=history.filter(~is_open),
-    )
+    return combine(tagged, history, spec, ctx, key_table, hot_min_bytes)
 
 
 def full_reload(

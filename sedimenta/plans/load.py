@@ -58,12 +58,8 @@ def load_history(
 
     tagged = stash(scd2.classify(staging, current, spec), "classified")
     counts = {r["action"]: r["row_count"] for r in scd2.action_counts(tagged).collect()}
-    changed = tagged.filter(F.col(scd2.ACTION) == Action.CHANGED)
-    marked = scd2.mark_closed(current, changed, spec, ctx)
-    inserted = scd2.new_versions(tagged.filter(F.col(scd2.ACTION) != Action.UNCHANGED), spec, ctx, keys)
-    kept = marked.filter(~F.col("_closed_now")).drop("_closed_now")
-    closed = marked.filter("_closed_now").drop("_closed_now")
-    target.publish(kept.unionByName(inserted), closed, reset=initial)
+    result = scd2.combine(tagged, current, spec, ctx, keys)
+    target.publish(result.rows, reset=initial)
     return LoadCounts(
         rows_read=sum(counts.values()),
         rows_inserted=counts.get(Action.NEW, 0) + counts.get(Action.CHANGED, 0),

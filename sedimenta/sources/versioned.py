@@ -34,7 +34,7 @@ class VersionedTable:
             raise
         version = manifest.agg(F.max("version")).first()[0]
         rows = manifest.filter(F.col("version") == version).collect()
-        return version, [(r["role"], r["path"]) for r in rows]
+        return version, [(r["role"], r["path"]) for r in rows if r["path"]]
 
     def version(self, spark: SparkSession) -> int:
         return self._newest(spark)[0]
@@ -53,20 +53,24 @@ class VersionedTable:
     def read(self, spark: SparkSession) -> DataFrame:
         return self._read(spark, [p for _, p in self._newest(spark)[1]])
 
-    def publish(self, current: DataFrame, closed: DataFrame, reset: bool = False) -> int:
-        """Write the new current rows and the newly closed rows, then switch versions.
+    def publish(self, rows: DataFrame, closed: str = "_closed_now", reset: bool = False) -> int:
+        """Write open and newly closed rows in one job, split by a boolean, then switch versions.
 
         With ``reset`` the new version forgets the closed rows of earlier loads.
         """
-        spark = current.sparkSession
-        load = uuid.uuid4().hex
-        version, entries = self._newest(spark)
-        kept = [] if reset else [(role, path) for role, path in entries if role == "closed"]
-        parts = [("current", f"{self.root}/current/{load}"), ("closed", f"{self.root}/closed/{load}")]
+        spark = rows.sparkSession
+        load = f"{self.root}/data/{uuid.uuid4().hex}"
+        role = F.when(F.col(closed), "closed").otherwise("current")
         names = self.schema.fieldNames()
-        for (_, path), rows in zip(parts, (current, closed)):
-            rows.select(*names).write.parquet(path)
-        listing = [(version + 1, role, path) for role, path in kept + parts]
+        rows.select(*names, role.alias("role")).write.partitionBy("role").parquet(load)
+        # A role without rows has no folder; such a part is left out of the version.
+        written = {r["role"] for r in spark.read.parquet(load).select("role").distinct().collect()}
+        version, entries = self._newest(spark)
+        kept = [] if reset else [(kind, path) for kind, path in entries if kind == "closed"]
+        parts = [(kind, f"{load}/role={kind}") for kind in sorted(written)]
+        listing = [(version + 1, kind, path) for kind, path in kept + parts]
+        if not listing:
+            listing = [(version + 1, "none", "")]
         manifest = spark.createDataFrame(listing, _MANIFEST)
         manifest.coalesce(1).write.mode("append").json(f"{self.root}/manifest")
         return version + 1

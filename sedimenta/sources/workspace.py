@@ -8,15 +8,21 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _root(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
-    folder = tempfile.mkdtemp(prefix="sedimenta-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path below the folder named by ``spark.checkpoint.dir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor reaches")
+        root = tempfile.mkdtemp(prefix="sedimenta-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/sedimenta/{name}-{uuid.uuid4().hex}"
+
+
+def write_counted(df: DataFrame, path: str) -> int:
+    """Write a frame and return its row count, which the file footers hold."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).count()
 
 
 def stash(df: DataFrame, name: str = "part") -> DataFrame:
@@ -25,10 +31,15 @@ def stash(df: DataFrame, name: str = "part") -> DataFrame:
     Cuts the lineage without depending on executors staying alive. Parquet keeps column
     pruning and a true size estimate for the plans that follow.
     """
-    spark = df.sparkSession
-    path = f"{_root(spark).rstrip('/')}/sedimenta/{name}-{uuid.uuid4().hex}"
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stash_counted(df: DataFrame, name: str = "part") -> tuple[DataFrame, int]:
+    path = folder(df.sparkSession, name)
+    count = write_counted(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), count
 
 
 def estimated_bytes(df: DataFrame) -> int:

@@ -51,15 +51,16 @@ def test_key_text_forms(spark):
 
 def test_positions_equal_dense_rank(spark):
     values = spark.range(5000).select(F.sha2(F.col("id").cast("string"), 256).alias("v"))
-    numbered = number_distinct(values, "v")
-    want = sorted(r[0] for r in values.collect())
-    assert [tuple(r) for r in numbered.orderBy("v").select("position", "v").collect()] == list(
-        enumerate(want, start=1)
-    )
+    want = list(enumerate(sorted(r[0] for r in values.collect()), start=1))
+    for limit in (0, 1 << 30):
+        numbered = number_distinct(values, "v", one_task_bytes=limit)
+        assert [tuple(r) for r in numbered.orderBy("v").select("position", "v").collect()] == want
 
 
 def test_no_values_give_no_positions(spark):
-    assert number_distinct(spark.range(0).select(F.col("id").alias("v")), "v").count() == 0
+    none = spark.range(0).select(F.col("id").alias("v"))
+    assert number_distinct(none, "v").count() == 0
+    assert number_distinct(none, "v", one_task_bytes=-1).count() == 0
 
 
 def test_bridge_takes_the_smallest_key(spark):
