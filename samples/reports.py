@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from samples.support import AS_OF, FIXTURES, fixture, portable, query, ts_sql, ts_text
 from sedimenta.functions.names import core_name
-from sedimenta.functions.types import dictionary_type, map_source_types, type_name
+from sedimenta.functions.types import dictionary_type, type_name
 from sedimenta.operators import catalog, runlog
 
 FIXTURES["jobs"] = """
@@ -525,4 +525,4 @@ FIXTURES["type_rules"] = """
   FROM foreign_columns
 """)
 def mapped_source_types(spark, sf_dir):
-    return map_source_types(fixture(spark, sf_dir, "foreign_columns"), fixture(spark, sf_dir, "type_rules"))
+    return catalog.map_source_types(fixture(spark, sf_dir, "foreign_columns"), fixture(spark, sf_dir, "type_rules"))

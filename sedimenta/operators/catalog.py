@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.functions.types import DEFAULT_TYPE, MAX_LENGTH
+from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique
 from sedimenta.operators.surrogate import number_distinct
 
 DELETED_MARK = " [DELETED]"
@@ -102,6 +104,68 @@ def candidates(dictionary: DataFrame, tables: DataFrame, databases: DataFrame) -
     )
 
 
+# --- foreign types ---------------------------------------------------------------------
+
+
+def map_source_types(columns: DataFrame, rules: DataFrame, hot_min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Target types for foreign columns, by a rule table.
+
+    ``columns`` has ``source_datatype, max_length, precision, scale``; ``rules`` has
+    ``rule_id, source_datatype, is_active, target_datatype, multiplier, target_max_length,
+    target_precision, target_scale, type_format, convert_template``. The active rule with
+    the smallest id wins; without one the type is ``VARCHAR(255)``. Adds ``target_type``,
+    ``multiplier`` and ``convert_template``.
+    """
+    fields = [
+        "rule_id", "target_datatype", "multiplier", "target_max_length",
+        "target_precision", "target_scale", "type_format", "convert_template",
+    ]
+    first = (
+        rules.filter(F.col("is_active") == "Y")
+        .groupBy(F.lower("source_datatype").alias("_type"))
+        .agg(F.min(F.struct(*fields)).alias("_rule"))
+    )
+    keyed = columns.withColumn("_type", F.lower("source_datatype"))
+    joined = join_unique(keyed, first, ["_type"], find_hot_keys(keyed, ["_type"], hot_min_bytes))
+
+    rule = {name: F.col(f"_rule.{name}") for name in fields}
+
+    def positive(c: Column) -> Column:
+        return F.when(c != 0, c)
+
+    multiplier = F.coalesce(positive(rule["multiplier"]), F.lit(1))
+    scaled = F.least(
+        F.col("max_length").cast("long") * multiplier,
+        F.coalesce(positive(rule["target_max_length"]), F.lit(MAX_LENGTH)),
+        F.lit(MAX_LENGTH),
+    )
+    length = F.when(F.col("max_length") > 0, scaled).otherwise(
+        F.coalesce(rule["target_max_length"].cast("long"), F.lit(0))
+    )
+    precision = F.coalesce(
+        positive(F.col("precision")),
+        positive(rule["target_precision"]),
+        positive(rule["target_max_length"]),
+        F.lit(6),
+    )
+    scale = F.coalesce(F.col("scale"), rule["target_scale"], F.lit(0))
+
+    rendered = rule["type_format"]
+    for mark, value in (
+        ("{base}", rule["target_datatype"]),
+        ("{length}", length.cast("string")),
+        ("{precision}", precision.cast("string")),
+        ("{scale}", scale.cast("string")),
+    ):
+        rendered = F.replace(rendered, F.lit(mark), F.coalesce(value, F.lit("")))
+    return joined.select(
+        *columns.columns,
+        F.coalesce(rendered, F.lit(DEFAULT_TYPE)).alias("target_type"),
+        F.when(F.col("_rule").isNull(), F.lit(1)).otherwise(multiplier).cast("int").alias("multiplier"),
+        rule["convert_template"].alias("convert_template"),
+    )
+
+
 # --- drift -----------------------------------------------------------------------------
 
 

@@ -1,8 +1,9 @@
 """Surrogate-key lookups: own key, foreign keys through key, master and bridge tables.
 
-Each lookup is a left join whose right side has one row per key and lies directly behind its
-shuffle, so adaptive execution can broadcast a small side by its measured size and split a
-hot or null key of the left side.
+Each lookup is a left join whose right side has one row per key. Key and master tables lie
+directly behind the join's shuffle, so adaptive execution can broadcast a small side by its
+measured size and split a hot or null key of the left side; a bridge is an aggregate on the
+join key, so there the join salts hot keys itself.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import UNKNOWN_SK, BridgeLookup, ForeignKey, KeyLookup, MasterLookup
 from sedimenta.functions.text import natural_key
+from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique
 
 
 def _domain_keys(key_table: DataFrame, domain: str) -> DataFrame:
@@ -30,6 +32,16 @@ def _lookup(df: DataFrame, key: Column, pairs: DataFrame, sk_column: str) -> Dat
     return joined.withColumn(sk_column, found).drop("_key", "_nk", "_sk")
 
 
+def _lookup_aggregated(
+    df: DataFrame, key: Column, pairs: DataFrame, sk_column: str, hot_min_bytes: int
+) -> DataFrame:
+    keyed = df.withColumn("_key", key)
+    pairs = pairs.withColumnRenamed("_nk", "_key")
+    joined = join_unique(keyed, pairs, ["_key"], find_hot_keys(keyed, ["_key"], hot_min_bytes))
+    found = F.coalesce(F.col("_sk"), F.lit(UNKNOWN_SK)).cast("long")
+    return joined.select(*df.columns, found.alias(sk_column))
+
+
 def lookup_surrogate_key(
     df: DataFrame, columns: Sequence[str], key_table: DataFrame, domain: str, sk_column: str
 ) -> DataFrame:
@@ -59,7 +71,9 @@ def bridge_pairs(fk: BridgeLookup) -> DataFrame:
     )
 
 
-def resolve_foreign_keys(df: DataFrame, foreign_keys: Sequence[ForeignKey]) -> DataFrame:
+def resolve_foreign_keys(
+    df: DataFrame, foreign_keys: Sequence[ForeignKey], hot_min_bytes: int = MIN_BYTES
+) -> DataFrame:
     """Add one surrogate-key column per definition. Rows are kept; unresolved keys become -1."""
     for fk in foreign_keys:
         if isinstance(fk, KeyLookup):
@@ -67,5 +81,5 @@ def resolve_foreign_keys(df: DataFrame, foreign_keys: Sequence[ForeignKey]) -> D
         elif isinstance(fk, MasterLookup):
             df = _lookup(df, natural_key(df, [fk.column]), master_pairs(fk), fk.sk_column)
         else:
-            df = _lookup(df, F.col(fk.column), bridge_pairs(fk), fk.sk_column)
+            df = _lookup_aggregated(df, F.col(fk.column), bridge_pairs(fk), fk.sk_column, hot_min_bytes)
     return df

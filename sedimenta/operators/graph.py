@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimenta.operators.keyed_join import matching_keys
 from sedimenta.operators.lineage import EXTERNAL
 from sedimenta.operators.surrogate import number_distinct
 from sedimenta.sources.workspace import folder, stash, stash_counted, write_counted
@@ -105,15 +106,15 @@ def load_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         edges.filter(F.col("parent_id") != F.col("child_id"))
         .select("parent_id", "child_id")
         .distinct()
-        .join(known.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
-        .join(known.select(F.col("node_id").alias("child_id")), "child_id", "left_semi"),
+        .join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
+        .join(nodes.select(F.col("node_id").alias("child_id")), "child_id", "left_semi"),
         "edges",
     )
     children = [left.select("child_id", F.lit(1).alias("level")).limit(0)]
     while size:
         # Any node that is a child this round has at least this level.
         children.append(left.select("child_id", F.lit(len(children)).alias("level")))
-        parents = left.select(F.col("child_id").alias("parent_id")).distinct()
+        parents = matching_keys(left, ["child_id"], ["parent_id"]).withColumnRenamed("child_id", "parent_id")
         left, rest = stash_counted(left.join(parents, "parent_id", "left_semi"), "edges")
         if rest == size:
             break

@@ -3,7 +3,8 @@
 Adaptive execution splits a skewed partition only when the shuffle lies directly under the
 join. That holds for lookups in stored tables, which therefore use plain joins. It does not
 hold when the unique side is the result of an aggregation on the join keys; those joins go
-through :func:`join_unique`, which salts the hot keys itself.
+through :func:`join_unique`, which salts the hot keys itself. Semi and anti joins take their
+right side from :func:`matching_keys`.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SKETCH_ITEMS = 16384
 MIN_BYTES = 1 << 30
 # A key is hot when it fills this many average partitions.
 PARTITION_FACTOR = 2
+# Rows that may remain of a hot key on the right side of a semi or anti join.
+KEY_SHARES = 64
 
 
 @dataclass(frozen=True)
@@ -90,3 +93,18 @@ def join_unique(
     copies = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
     salted_right = marked(right).withColumn("_salt", F.explode(copies)).drop("_splits")
     return salted_left.drop("_splits").join(salted_right, [*keys, "_salt"], "left").drop("_salt")
+
+
+def matching_keys(
+    df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], min_bytes: int = MIN_BYTES
+) -> DataFrame:
+    """Key columns for the right side of a semi or anti join, where repeats do no harm.
+
+    If some key is hot, its rows first shrink to a few per key, spread over tasks by other
+    columns. Grouping by more than the keys leaves the join's own shuffle directly under it,
+    so a hot key on the left side can still be split.
+    """
+    if not find_hot_keys(df, keys, min_bytes):
+        return df.select(*keys)
+    share = F.pmod(F.xxhash64(*spread_by), F.lit(KEY_SHARES))
+    return df.select(*keys, share.alias("_share")).distinct().drop("_share")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import UNKNOWN_SK, RunContext, Scd2Config
 from sedimenta.functions.text import timestamp
+from sedimenta.operators.keyed_join import MIN_BYTES, matching_keys
 
 
 def merge_from_view(
@@ -20,15 +21,17 @@ def merge_from_view(
     sk_column: str,
     ctx: RunContext,
     cfg: Scd2Config = Scd2Config(),
+    hot_min_bytes: int = MIN_BYTES,
 ) -> DataFrame:
     """Rows to append: view rows whose (business key, valid-from) the target lacks.
 
-    Existing rows are never updated. The versions come from the view as they are. Only the
-    two key columns of the target are read.
+    Existing rows are never updated. The versions come from the view as they are. Unless a
+    pair is hot, only the two key columns of the target are read.
     """
     on = [business_key, cfg.valid_from]
     now = timestamp(ctx.run_ts)
-    missing = view.join(target.select(*on), on, "left_anti")
+    present = matching_keys(target, on, target.columns, hot_min_bytes)
+    missing = view.join(present, on, "left_anti")
     return missing.select(
         F.coalesce(F.col(source_sk), F.lit(UNKNOWN_SK)).cast("long").alias(sk_column),
         *columns,

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sedimenta.config import HIGH_DATE, Action, LoadSpec, RunContext, Scd2Config
 from sedimenta.functions.text import record_hash, timestamp
 from sedimenta.operators.foreign_keys import lookup_surrogate_key, resolve_foreign_keys
-from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique
+from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique, matching_keys
 from sedimenta.sources.workspace import stash
 
 ACTION = "_action"
@@ -77,11 +77,14 @@ def classify(
     return joined.withColumn(ACTION, action).select(*hashed.columns, ACTION)
 
 
-def identify_new(staging: DataFrame, history: DataFrame, spec: LoadSpec) -> DataFrame:
+def identify_new(
+    staging: DataFrame, history: DataFrame, spec: LoadSpec, hot_min_bytes: int = MIN_BYTES
+) -> DataFrame:
     """Staging rows without a current version. Keys whose versions are all closed are new again."""
-    staging = _staged(staging, spec)
     keys = list(spec.business_key)
-    return staging.join(current_rows(history, spec.scd2).select(*keys), keys, "left_anti")
+    current = current_rows(history, spec.scd2)
+    known = matching_keys(current, keys, [spec.scd2.record_hash], hot_min_bytes)
+    return _staged(staging, spec).join(known, keys, "left_anti")
 
 
 def identify_changed(staging: DataFrame, history: DataFrame, spec: LoadSpec) -> DataFrame:

@@ -15,7 +15,7 @@ from sedimenta.sources.workspace import estimated_bytes, stash
 # monotonically_increasing_id keeps the row number of a partition in its lower 33 bits.
 _ROW_BITS = 33
 # Frames up to this estimated size are numbered by a single task.
-ONE_TASK_BYTES = 16 << 20
+ONE_TASK_BYTES = 8 << 20
 
 
 def ensure_key_table(

@@ -64,7 +64,8 @@ class VersionedTable:
         names = self.schema.fieldNames()
         rows.select(*names, role.alias("role")).write.partitionBy("role").parquet(load)
         # A role without rows has no folder; such a part is left out of the version.
-        written = {r["role"] for r in spark.read.parquet(load).select("role").distinct().collect()}
+        folders = spark.read.schema("role string").parquet(load)
+        written = {r["role"] for r in folders.distinct().collect()}
         version, entries = self._newest(spark)
         kept = [] if reset else [(kind, path) for kind, path in entries if kind == "closed"]
         parts = [(kind, f"{load}/role={kind}") for kind in sorted(written)]

@@ -75,3 +75,6 @@ def test_bridge_takes_the_smallest_key(spark):
         KeyLookup("OWN", ["b"], keys, "D"),
     ]
     assert rows(resolve_foreign_keys(child, fks)) == [(1, 4, -1), (2, -1, -1), (3, -1, -1)]
+    many = spark.range(3000).select(F.when(F.col("id") > 1000, 1).otherwise(2).cast("long").alias("b"))
+    salted = resolve_foreign_keys(many, fks[:1], hot_min_bytes=0).groupBy("b", "VIA").count()
+    assert rows(salted) == [(1, 4, 1999), (2, -1, 1001)]

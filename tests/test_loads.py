@@ -43,6 +43,17 @@ def test_versions_of_a_history_table(spark, tmp_path):
     assert spark.read.schema(KEY_TABLE_SCHEMA).parquet(keys).count() == 4
 
 
+def test_empty_load_publishes_an_empty_version(spark, tmp_path):
+    none = spark.createDataFrame([], "k long, v string")
+    target = VersionedTable(str(tmp_path / "hist"), history_schema(none.schema, None))
+    spec = LoadSpec(business_key=["k"], surrogate=None)
+    assert load_history(spark, none, target, spec, CTX) == LoadCounts()
+    assert target.version(spark) == 1 and target.read(spark).count() == 0
+    one = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert load_history(spark, one, target, spec, LATER).rows_inserted == 1
+    assert target.current(spark).count() == 1 and target.closed(spark).count() == 0
+
+
 def test_two_layers(spark, tmp_path):
     """RAW file to a discoverable history, then to a reusable one with keys from the view."""
     raw = table_path(str(tmp_path), Layer.RAW, "person")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sedimenta.config import Action, LoadSpec, MasterLookup, RunContext, Scd2Config, history_schema
 from sedimenta.functions.text import record_hash
 from sedimenta.operators import scd2
-from sedimenta.operators.keyed_join import HotKeys, find_hot_keys, join_unique
+from sedimenta.operators.keyed_join import HotKeys, find_hot_keys, join_unique, matching_keys
 from sedimenta.operators.stats import table_statistics
 
 BATCH = "k long, v string"
@@ -192,6 +192,16 @@ def test_hot_key_is_found_and_salted_join_is_exact(spark):
     assert find_hot_keys(left, ["k"]) == HotKeys()
 
 
+def test_hot_keys_on_the_right_of_an_anti_join(spark):
+    right = spark.range(9000).select(F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).alias("k"), "id")
+    few = matching_keys(right, ["k"], ["id"], min_bytes=0)
+    assert few.filter("k = 1").count() <= 64
+    assert rows(few.distinct()) == rows(right.select("k").distinct())
+    before = load(spark, empty_history(spark), [(1, f"v{i}") for i in range(400)] + [(2, "a")]).history
+    staging = batch(spark, (1, "x"), (2, "a"), (3, "b"), (None, "c"))
+    assert rows(scd2.identify_new(staging, before, SPEC, hot_min_bytes=0)) == [(3, "b"), (None, "c")]
+
+
 def test_load_with_hot_key_equals_plain_load(spark):
     items = [(1, f"v{i}") for i in range(300)] + [(1, "same")] * 300 + [(None, f"n{i}") for i in range(300)]
     items += [(k, "x") for k in range(2, 100)]
