@@ -10,11 +10,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedimenta.operators.keyed_join import matching_keys
 from sedimenta.operators.lineage import EXTERNAL
 from sedimenta.operators.surrogate import number_distinct
-from sedimenta.sources.workspace import folder, stash, stash_counted, write_counted
+from sedimenta.sources.workspace import folder, stash, write_counted
 
 MAX_DEPTH = 12
 
@@ -101,29 +102,35 @@ def load_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     round k - 1, so a node's level is the number of rounds that contain it as a child. Edges
     that no round removes belong to nodes in or behind a cycle; their level is null.
     """
-    known = nodes.select("node_id").distinct()
-    left, size = stash_counted(
+    spark = edges.sparkSession
+    inside = (
         edges.filter(F.col("parent_id") != F.col("child_id"))
         .select("parent_id", "child_id")
         .distinct()
         .join(nodes.select(F.col("node_id").alias("parent_id")), "parent_id", "left_semi")
-        .join(nodes.select(F.col("node_id").alias("child_id")), "child_id", "left_semi"),
-        "edges",
+        .join(nodes.select(F.col("node_id").alias("child_id")), "child_id", "left_semi")
     )
-    children = [left.select("child_id", F.lit(1).alias("level")).limit(0)]
+    base, level = folder(spark, "levels"), 1
+    one_round = spark.read.schema(inside.schema)
+    size = write_counted(inside, f"{base}/level={level}")
     while size:
-        # Any node that is a child this round has at least this level.
-        children.append(left.select("child_id", F.lit(len(children)).alias("level")))
+        left = one_round.parquet(f"{base}/level={level}")
         parents = matching_keys(left, ["child_id"], ["parent_id"]).withColumnRenamed("child_id", "parent_id")
-        left, rest = stash_counted(left.join(parents, "parent_id", "left_semi"), "edges")
+        level += 1
+        rest = write_counted(left.join(parents, "parent_id", "left_semi"), f"{base}/level={level}")
         if rest == size:
             break
         size = rest
-    levels = _union(children).groupBy("child_id").agg(F.max("level").alias("_level"))
-    looped = left.select("child_id").distinct().withColumn("_looped", F.lit(True))
-    placed = levels.join(looped, "child_id", "left").select(F.col("child_id").alias("node_id"), "_level", "_looped")
-    return known.join(placed, "node_id", "left").select(
-        "node_id", F.when(F.col("_looped").isNull(), F.coalesce("_level", F.lit(0))).alias("level")
+    all_rounds = spark.read.schema(T.StructType([*inside.schema, T.StructField("level", T.IntegerType())]))
+    deepest = all_rounds.parquet(base).groupBy("child_id").agg(F.max("level").alias("_level"))
+    looped = one_round.parquet(f"{base}/level={level}").select("child_id").distinct()
+    placed = deepest.join(looped.withColumn("_looped", F.lit(True)), "child_id", "left")
+    placed = placed.withColumnRenamed("child_id", "node_id")
+    return (
+        nodes.select("node_id")
+        .distinct()
+        .join(placed, "node_id", "left")
+        .select("node_id", F.when(F.col("_looped").isNull(), F.coalesce("_level", F.lit(0))).alias("level"))
     )
 
 

@@ -36,12 +36,6 @@ def stash(df: DataFrame, name: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def stash_counted(df: DataFrame, name: str = "part") -> tuple[DataFrame, int]:
-    path = folder(df.sparkSession, name)
-    count = write_counted(df, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), count
-
-
 def estimated_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate; very large when the source does not know its size."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
