@@ -306,7 +306,7 @@ def scd2_full_reload(spark, sf_dir):
 
 
 VIEW_FLAGS = Scd2Config(
-    valid_from="GUELTIG_VON", valid_to="GUELTIG_BIS", current_flag="IST_AKTUELL", current_value="J", closed_value="N"
+    valid_from="ACTIVE_FROM", valid_to="ACTIVE_TO", current_flag="ACTIVE_FLAG", current_value="J", closed_value="N"
 )
 
 
@@ -314,9 +314,9 @@ VIEW_FLAGS = Scd2Config(
   WITH result AS (
     SELECT c_custkey + 5000 AS CUSTOMER_SK, * FROM closed_any
     UNION ALL BY NAME {inserted_sql('b.c_custkey + 5000 AS CUSTOMER_SK,')})
-  SELECT CUSTOMER_SK, {CUSTOMER_SQL}, {ts_sql('VALID_FROM', 'GUELTIG_VON')}, {ts_sql('VALID_TO', 'GUELTIG_BIS')},
+  SELECT CUSTOMER_SK, {CUSTOMER_SQL}, {ts_sql('VALID_FROM', 'ACTIVE_FROM')}, {ts_sql('VALID_TO', 'ACTIVE_TO')},
          {ts_sql('CREATED_TIMESTAMP')}, {ts_sql('LAST_UPDATED_TIMESTAMP')},
-         CASE IS_CURRENT WHEN 'Y' THEN 'J' ELSE IS_CURRENT END AS IST_AKTUELL,
+         CASE IS_CURRENT WHEN 'Y' THEN 'J' ELSE IS_CURRENT END AS ACTIVE_FLAG,
          RECORD_HASH, CREATED_BY, LAST_UPDATED_BY
   FROM result
 """)
@@ -326,10 +326,10 @@ def scd2_apply_keys_from_view(spark, sf_dir):
         scd2=VIEW_FLAGS, close_mode="not_closed",
     )
     h = history(spark, sf_dir, "CUSTOMER_SK").withColumnsRenamed(
-        {"VALID_FROM": "GUELTIG_VON", "VALID_TO": "GUELTIG_BIS", "IS_CURRENT": "IST_AKTUELL"}
+        {"VALID_FROM": "ACTIVE_FROM", "VALID_TO": "ACTIVE_TO", "IS_CURRENT": "ACTIVE_FLAG"}
     )
-    flag = F.col("IST_AKTUELL")
-    h = h.withColumn("IST_AKTUELL", F.when(flag == "Y", "J").otherwise(flag))
+    flag = F.col("ACTIVE_FLAG")
+    h = h.withColumn("ACTIVE_FLAG", F.when(flag == "Y", "J").otherwise(flag))
     batch = fixture(spark, sf_dir, "batch").withColumn("CUSTOMER_SK", F.col("c_custkey") + 5000)
     return portable(scd2.apply(h, batch, spec, CTX).history)
 

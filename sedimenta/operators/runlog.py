@@ -20,6 +20,8 @@ from sedimenta.config import RunStatus
 from sedimenta.functions.text import timestamp
 
 STALE_HOURS = 2
+# Fixed value: the type of bulk-load jobs in the job table.
+BULK_LOAD = "TPT_LOAD"
 STALE_MESSAGE = "marked as failed: still running after the allowed time"
 
 
@@ -265,7 +267,7 @@ def import_status(jobs: DataFrame, job_run: DataFrame, names: Sequence[str]) ->
     wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "source_table string")
     matches = F.array_compact(F.array(*[F.when(F.col("job_name").like(f"%{n}%"), F.lit(n)) for n in names]))
     first = (
-        jobs.filter(F.col("job_type") == "TPT_LOAD")
+        jobs.filter(F.col("job_type") == BULK_LOAD)
         .select("job_id", F.explode(matches).alias("source_table"))
         .groupBy("source_table")
         .agg(F.min("job_id").alias("job_id"))
