@@ -134,7 +134,9 @@ def stored_edges(lineage: DataFrame) -> DataFrame:
 
 
 def _items(views: DataFrame) -> DataFrame:
-    listed = views.select(
+    # Reading a text costs far more than moving it, and a few splits hold very many texts.
+    spread = views.select("view_id", "ddl").repartition("view_id", "ddl")
+    listed = spread.select(
         "view_id",
         viewtext.table_items(F.col("ddl")).alias("_tables"),
         F.posexplode(viewtext.select_items(F.col("ddl"))).alias("_pos", "_item"),
