@@ -7,9 +7,8 @@ import pytest
 from conftest import DATA
 
 import __spark_entry__ as entry
-from samples.support import TABLES
-
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from samples.support import ORACLES as SQL
+from samples.support import QUERIES, TABLES
 
 
 @pytest.fixture(scope="module")
