@@ -267,8 +267,19 @@ def _light_links(lists: DataFrame) -> DataFrame:
     return met.where("set_id <> other").select(F.col("set_id").alias("a"), F.col("other").alias("b")).distinct()
 
 
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """For each hashed bit, whether an odd number of elements fall on it; the length grows with the set, by powers of two."""
+    words = 2 << max(0, (len(tokens) - 1) >> 6).bit_length()
+    hashed = tb.mix(tokens ^ np.uint64(0x2545F4914F6CDD1D))
+    out = np.zeros(words, np.uint64)
+    # The bit doesn't depend on the number of words: one half folded on the other is the shorter sketch.
+    word, bit = (hashed >> np.uint64(6)) % np.uint64(words), hashed & np.uint64(63)
+    np.bitwise_xor.at(out, word.astype(np.int64), np.uint64(1) << bit)
+    return out.view(np.int64)
+
+
 def _token_sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
-    """``set_id, n, tokens`` of the wanted sets, read again from one document each."""
+    """``set_id, n, tokens, parity, folded`` of the wanted sets, read again from one document each."""
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "set_id"), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,17 +289,22 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool)
                 # Another text under the same doc_id isn't the one that is wanted.
                 right = _set_ids(tokens, bounds).view(np.int64) == part["set_id"].to_numpy(zero_copy_only=False)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))
+                parities = [_parity(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
+                folded = [p[: len(p) // 2] ^ p[len(p) // 2 :] for p in parities]
                 out = pa.RecordBatch.from_arrays(
-                    [part["set_id"], pa.array(np.diff(bounds), pa.int64()), lists], names=["set_id", "n", "tokens"]
+                    [part["set_id"], pa.array(np.diff(bounds), pa.int64()), lists, pa.array(parities), pa.array(folded)],
+                    schema=pa.schema(types),
                 )
                 yield out.filter(pa.array(right))
 
-    found = texts.mapInArrow(run, "set_id long, n long, tokens array<long>")
+    longs = pa.list_(pa.int64())
+    types = [("set_id", pa.int64()), ("n", pa.int64()), ("tokens", longs), ("parity", longs), ("folded", longs)]
+    found = texts.mapInArrow(run, "set_id long, n long, tokens array<long>, parity array<long>, folded array<long>")
     return stash(found.dropDuplicates(["set_id"]) if repeated else found, "token-sets")
 
 
 def _postings(sets: DataFrame, rule: Threshold) -> DataFrame:
-    """``token, set_id, n, place``: the prefix of each set in order of rarity, tokens of one set only left out."""
+    """``token, set_id, n, lone, place``: the prefix of each set in order of rarity, tokens of one set only left out."""
     each = sets.select("set_id", "n", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     shared = each.join(counts, "token")
@@ -298,7 +314,7 @@ def _postings(sets: DataFrame, rule: Threshold) -> DataFrame:
     kept = F.slice("list", F.lit(1), F.greatest(F.lit(0), length - lone).cast("int"))
     prefix = ordered.select("set_id", "n", lone.alias("lone"), F.posexplode(kept).alias("pos", "item"))
     return stash(
-        prefix.select(F.col("item.token").alias("token"), "set_id", "n", (F.col("lone") + F.col("pos")).alias("place")), "postings"
+        prefix.select(F.col("item.token").alias("token"), "set_id", "n", "lone", (F.col("lone") + F.col("pos")).alias("place")), "postings"
     )
 
 
@@ -312,32 +328,49 @@ def _checked(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
     side = lambda x: sets.select(F.col("set_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("tokens").alias(f"t_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     shared = F.size(F.array_intersect("t_a", "t_b"))
-    return stash(both.select("a", "b", rule.column_links(F.col("n_a"), F.col("n_b"), shared).alias("linked")), "checked")
+    linked = rule.column_links(F.col("n_a"), F.col("n_b"), shared)
+    return stash(both.select("a", "b", linked.alias("linked")), "checked")
 
 
 def _star_pairs(postings: DataFrame, rule: Threshold) -> DataFrame:
-    """Each list's set with the earliest place against all its others."""
-    heads = postings.groupBy("token").agg(F.min(F.struct("place", "set_id", "n")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    """Each list's sets ``a`` against its leader ``b``, the set with the fewest tokens of its own: much the same set for all lists of a group."""
+    heads = postings.groupBy("token").agg(F.min(F.struct("lone", "set_id", "n", "place")).alias("h"), F.count("*").alias("k")).where("k > 1")
     met = postings.join(heads, "token").where(F.col("set_id") != F.col("h.set_id"))
     met = met.where(_fits(rule, F.col("n"), F.col("h.n"), F.col("place") + F.col("h.place")))
-    return met.select(F.least("set_id", "h.set_id").alias("a"), F.greatest("set_id", "h.set_id").alias("b")).distinct()
+    return met.select(F.col("set_id").alias("a"), F.col("h.set_id").alias("b")).distinct()
+
+
+def _apart(x: str, y: str) -> Column:
+    """At least so many elements are in one of two sets only: bits in which their parities differ.
+
+    Sets of sizes that can link have sketches of the same length, or one of twice the other's.
+    """
+    one, two = (lambda c: F.col(f"{x}.{c}")), (lambda c: F.col(f"{y}.{c}"))
+    longer, shorter = F.size(one("parity")) > F.size(two("parity")), F.size(one("parity")) < F.size(two("parity"))
+    left = F.when(longer, one("folded")).otherwise(one("parity"))
+    right = F.when(shorter, two("folded")).otherwise(two("parity"))
+    bits = F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.aggregate(bits, F.lit(0), lambda s, k: s + k)
 
 
-def _rest_pairs(postings: DataFrame, labels: DataFrame, tested: DataFrame, rule: Threshold) -> DataFrame:
-    """Pairs of a list that are in different components and not yet compared."""
+def _rest_pairs(postings: DataFrame, sets: DataFrame, labels: DataFrame, tested: DataFrame, rule: Threshold) -> DataFrame:
+    """Pairs of a list that are in different components, not yet compared, and not too far apart by their parities."""
     known = postings.join(labels.select(F.col("node").alias("set_id"), "component"), "set_id", "left")
     known = known.withColumn("component", F.coalesce("component", "set_id"))
     mixed = known.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    open_lists = stash(known.join(mixed.select("token"), "token"), "open-lists")
+    open_lists = known.join(mixed.select("token"), "token").join(sets.select("set_id", "parity", "folded"), "set_id")
+    open_lists = stash(open_lists, "open-lists")
     one, two = open_lists.alias("x"), open_lists.alias("y")
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    most = x("n") + y("n") - 2 * rule.column_need(x("n"), y("n"))
     met = one.join(
         two,
         (x("token") == y("token")) & (x("set_id") < y("set_id")) & (x("component") != y("component"))
-        & _fits(rule, x("n"), y("n"), x("place") + y("place")),
+        & _fits(rule, x("n"), y("n"), x("place") + y("place")) & (_apart("x", "y") <= most),
     )
     pairs = met.select(x("set_id").alias("a"), y("set_id").alias("b")).distinct()
-    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    done = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -361,7 +394,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     light = stash(_light_links(filled), "light")
     links = stars.where("linked").select("a", "b").unionByName(light)
     labels = components(links)
-    rest = _checked(_rest_pairs(postings, labels, stars, rule), sets, rule)
+    rest = _checked(_rest_pairs(postings, sets, labels, stars, rule), sets, rule)
     more = rest.where("linked")
     if not more.isEmpty():
         labels = components(links.unionByName(more.select("a", "b")))
