@@ -44,7 +44,12 @@ LIST_COST, CHECK_COST = 1.0, 1.0
 MARGIN = 6.0
 # Signatures that one task sorts at a time.
 BUCKET_ENTRIES = 400_000
-_ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("set", "<u8")])
+# Rows up to which the wanted sets are sent to all tasks; beyond, texts are shuffled instead.
+BROADCAST_ROWS = 1_000_000
+# Signatures and sets travel as 40 bits each; a bucket fixes further bits of the signature.
+_ENTRY = np.dtype([("sig", "<u4"), ("sig_high", "u1"), ("set", "<u4"), ("set_high", "u1")])
+_ID_BITS = 40
+_ID_MASK = (1 << _ID_BITS) - 1
 
 
 @dataclass(frozen=True)
@@ -177,7 +182,7 @@ def _signatures(
     return [np.concatenate(f) if f else np.zeros(0, np.uint64) for f in found], weak
 
 
-_LISTS = "doc_id long, text_hash long, n long, set_id long, sigs array<long>, keys array<long>, sides array<int>, weak boolean"
+_LISTS = "doc_id long, text_hash long, n long, set_id long, keys array<long>, sides array<int>, weak boolean"
 
 
 def _summaries(docs: DataFrame, width: int, rule: Threshold, seed: int) -> DataFrame:
@@ -193,7 +198,7 @@ def _summaries(docs: DataFrame, width: int, rule: Threshold, seed: int) -> DataF
             for part in tb.chunks(batch):
                 tokens, bounds = _sets(*tb.buffers(part["text"]), width)
                 sizes = np.diff(bounds)
-                sigs, weak = _signatures(tokens, bounds, rule, boundary, seed)
+                _, weak = _signatures(tokens, bounds, rule, boundary, seed)
                 light = [
                     _light_keys(tokens[a:b], rule, boundary) if 0 < b - a < boundary and seed == 0 else ([], [])
                     for a, b in zip(bounds.tolist(), bounds[1:].tolist())
@@ -203,59 +208,85 @@ def _summaries(docs: DataFrame, width: int, rule: Threshold, seed: int) -> DataF
                     [
                         part["doc_id"].cast(pa.int64()), part["text_hash"], pa.array(sizes, pa.int64()),
                         pa.array(_set_ids(tokens, bounds).view(np.int64)),
-                        nested([s.view(np.int64) for s in sigs], pa.int64()), nested(keys, pa.int64()),
+                        nested(keys, pa.int64()),
                         nested([s for _, s in light], pa.int32()), pa.array(weak),
                     ],
-                    names=["doc_id", "text_hash", "n", "set_id", "sigs", "keys", "sides", "weak"],
+                    names=["doc_id", "text_hash", "n", "set_id", "keys", "sides", "weak"],
                 )
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, _LISTS)
 
 
-def _active(lists: DataFrame) -> DataFrame:
-    """Ids of sets that share a block signature with another set.
+def _entries(sigs: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    out = np.empty(len(sigs), _ENTRY)
+    for name, values in (("sig", sigs), ("set", sets)):
+        out[name] = values & np.uint64(0xFFFFFFFF)
+        out[f"{name}_high"] = (values >> np.uint64(32)) & np.uint64(0xFF)
+    return out
+
+
+def _column(entries: np.ndarray, name: str) -> np.ndarray:
+    return entries[name].astype(np.uint64) | (entries[f"{name}_high"].astype(np.uint64) << np.uint64(32))
+
+
+def _once_each(sigs: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One entry for each signature of a batch, and two that make a set active for sets that meet within it.
+
+    A signature that a whole group of near copies shares thus travels once a batch, not once a set.
+    """
+    order = np.lexsort((sets, sigs))
+    sigs, sets = sigs[order], sets[order]
+    start = np.concatenate([[True], sigs[1:] != sigs[:-1]])
+    other = np.concatenate([[False], (sigs[1:] == sigs[:-1]) & (sets[1:] != sets[:-1])])
+    first = np.flatnonzero(start)
+    met = np.repeat(np.add.reduceat(other.astype(np.int64), first) > 0, np.diff(np.append(first, len(sigs))))
+    known = np.unique(sets[met])
+    marks = tb.mix(known ^ np.uint64(0x7F4A7C15F39CC060))
+    return np.concatenate([sigs[start], marks, marks]), np.concatenate([sets[start], known, known ^ np.uint64(_ID_MASK)])
+
+
+def _active(docs: DataFrame, width: int, rule: Threshold, total: int, seed: int = 0) -> DataFrame:
+    """``short_id`` of sets that share a block signature with another set; a few others may be among them.
 
     Signatures travel packed, dealt to buckets by hash; a bucket is sorted by one task and
-    holds a bounded expected number. Copies of a set within a batch travel once.
+    holds a bounded expected number.
     """
-    total = lists.agg(F.sum(F.size("sigs"))).first()[0] or 0
-    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    boundary = rule.boundary
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, -(-total // BUCKET_ENTRIES))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sigs = batch["sigs"]
-            flat = sigs.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            count = sigs.value_lengths().to_numpy(zero_copy_only=False)
-            entries = np.empty(len(flat), _ENTRY)
-            entries["set"] = np.repeat(batch["set_id"].to_numpy(zero_copy_only=False).view(np.uint64), count)
-            entries["low"], entries["high"] = flat & np.uint64(0xFFFFFFFF), (flat >> np.uint64(32)) & np.uint64(0xFFFF)
-            bucket = ((flat >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((entries["set"], flat, bucket))
-            entries, bucket, flat = entries[order], bucket[order], flat[order]
-            fresh = np.ones(len(flat), bool)
-            fresh[1:] = (flat[1:] != flat[:-1]) | (entries["set"][1:] != entries["set"][:-1])
-            entries, bucket = entries[fresh], bucket[fresh]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            groups = [g for g in np.split(np.arange(len(bucket)), cuts) if len(g)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(bucket[g[0]]) for g in groups], pa.int64()), pa.array([entries[g].tobytes() for g in groups], pa.binary())],
-                names=["bucket", "entries"],
-            )
+            for part in tb.chunks(batch, limit=4 * tb.CHUNK_BYTES):
+                tokens, bounds = _sets(*tb.buffers(part["text"]), width)
+                each, _ = _signatures(tokens, bounds, rule, boundary, seed)
+                sets = np.repeat(_set_ids(tokens, bounds) & np.uint64(_ID_MASK), [len(e) for e in each])
+                sigs = np.concatenate(each)
+                if not len(sigs):
+                    continue
+                sigs, sets = _once_each(sigs, sets)
+                bucket = ((sigs >> np.uint64(_ID_BITS)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                packed, bucket = _entries(sigs, sets)[order], bucket[order]
+                cuts = np.flatnonzero(np.diff(bucket)) + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(bucket[np.concatenate([[0], cuts])]), pa.array([g.tobytes() for g in np.split(packed, cuts)], pa.binary())],
+                    names=["bucket", "entries"],
+                )
 
     def match(table: pa.Table) -> pa.Table:
         entries = np.concatenate([np.frombuffer(b, _ENTRY) for b in table["entries"].to_pylist()])
-        key = entries["low"].astype(np.uint64) | (entries["high"].astype(np.uint64) << np.uint64(32))
-        order = np.lexsort((entries["set"], key))
-        key, sets = key[order], entries["set"][order]
+        key, sets = _column(entries, "sig"), _column(entries, "set")
+        order = np.lexsort((sets, key))
+        key, sets = key[order], sets[order]
         same = (key[1:] == key[:-1]) & (sets[1:] != sets[:-1])
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         several = np.add.reduceat(np.concatenate([[0], same.astype(np.int64)]), start) > 0
         inside = np.repeat(several, np.diff(np.append(start, len(key))))
-        return pa.table({"set_id": pa.array(np.unique(sets[inside]).view(np.int64))})
+        return pa.table({"short_id": pa.array(np.unique(sets[inside]).view(np.int64))})
 
-    dealt = lists.select("set_id", "sigs").mapInArrow(deal, "bucket long, entries binary")
-    return dealt.groupBy("bucket").applyInArrow(match, "set_id long").distinct()
+    dealt = docs.select("text").mapInArrow(deal, "bucket long, entries binary")
+    return dealt.groupBy("bucket").applyInArrow(match, "short_id long").distinct()
 
 
 def _light_links(lists: DataFrame) -> DataFrame:
@@ -279,8 +310,14 @@ def _parity(tokens: np.ndarray) -> np.ndarray:
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool) -> DataFrame:
-    """``set_id, n, tokens, parity, folded`` of the wanted sets, read again from one document each."""
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), "set_id"), "doc_id")
+    """``set_id, n, tokens, parity, folded`` of the wanted sets, read again from one document each.
+
+    ``wanted`` is stored. While it is small, it goes to the texts; beyond that, texts are shuffled to it.
+    """
+    sought = wanted.select(F.col("rep").alias("doc_id"), "set_id")
+    if wanted.count() <= BROADCAST_ROWS:
+        sought = F.broadcast(sought)
+    texts = docs.select("doc_id", "text").join(sought, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +329,7 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool)
                 parities = [_parity(tokens[a:b]) for a, b in zip(bounds, bounds[1:])]
                 folded = [p[: len(p) // 2] ^ p[len(p) // 2 :] for p in parities]
                 out = pa.RecordBatch.from_arrays(
-                    [part["set_id"], pa.array(np.diff(bounds), pa.int64()), lists, pa.array(parities), pa.array(folded)],
+                    [part["set_id"], pa.array(np.diff(bounds), pa.int64()), lists, pa.array(parities, longs), pa.array(folded, longs)],
                     schema=pa.schema(types),
                 )
                 yield out.filter(pa.array(right))
@@ -300,22 +337,24 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool)
     longs = pa.list_(pa.int64())
     types = [("set_id", pa.int64()), ("n", pa.int64()), ("tokens", longs), ("parity", longs), ("folded", longs)]
     found = texts.mapInArrow(run, "set_id long, n long, tokens array<long>, parity array<long>, folded array<long>")
-    return stash(found.dropDuplicates(["set_id"]) if repeated else found, "token-sets")
+    return found.dropDuplicates(["set_id"]) if repeated else found
+
 
+def _postings(sets: DataFrame, sizes: DataFrame, rule: Threshold) -> DataFrame:
+    """``token, set_id, n, lone, place``: the prefix of each set in order of rarity, tokens of one set only left out.
 
-def _postings(sets: DataFrame, rule: Threshold) -> DataFrame:
-    """``token, set_id, n, lone, place``: the prefix of each set in order of rarity, tokens of one set only left out."""
-    each = sets.select("set_id", "n", F.explode("tokens").alias("token"))
+    A token is written as its count and 48 bits of its hash, so that its order is its value.
+    """
+    each = sets.select("set_id", F.explode("tokens").alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = each.join(counts, "token")
-    ordered = shared.groupBy("set_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("list"))
+    rank = F.shiftleft(F.least(F.col("df"), F.lit(32767)).cast("long"), 48)
+    shared = each.join(counts, "token").select("set_id", rank.bitwiseOR(F.shiftrightunsigned("token", 16)).alias("token"))
+    ordered = shared.groupBy("set_id").agg(F.sort_array(F.collect_list("token")).alias("list")).join(sizes.select("set_id", "n"), "set_id")
     lone = F.col("n") - F.size("list")
     length = F.col("n") - F.ceil(F.lit(rule.percent) * F.col("n") / F.lit(100)) + 1
     kept = F.slice("list", F.lit(1), F.greatest(F.lit(0), length - lone).cast("int"))
-    prefix = ordered.select("set_id", "n", lone.alias("lone"), F.posexplode(kept).alias("pos", "item"))
-    return stash(
-        prefix.select(F.col("item.token").alias("token"), "set_id", "n", "lone", (F.col("lone") + F.col("pos")).alias("place")), "postings"
-    )
+    prefix = ordered.select("set_id", "n", lone.alias("lone"), F.posexplode(kept).alias("pos", "token"))
+    return stash(prefix.select("token", "set_id", "n", "lone", (F.col("lone") + F.col("pos")).alias("place")), "postings")
 
 
 def _fits(rule: Threshold, n: Column, m: Column, places: Column) -> Column:
@@ -379,17 +418,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     lists = stash(_summaries(docs, width, rule, 0), "set-lists")
     filled = lists.where("n > 0")
     known = stash(filled.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "sets")
-    active = _active(filled)
-    seed, passes = 1, lists
-    while not passes.where("weak").isEmpty():
+    total = known.agg(F.sum("n")).first()[0] or 0
+    active = stash(_active(docs, width, rule, total), "active")
+    weak, seed = lists.where("weak").select("set_id").distinct(), 1
+    while not weak.isEmpty():
         # Too few filled blocks for some set under this deal: deal all sets anew and add what that finds.
-        passes = stash(_summaries(docs, width, rule, seed), "set-lists")
-        active = active.unionByName(_active(passes)).distinct()
-        still = passes.where("weak").select("set_id").join(lists.where("weak").select("set_id"), "set_id", "left_semi")
-        passes, seed = still.withColumn("weak", F.lit(True)), seed + 1
+        active = stash(active.unionByName(_active(docs, width, rule, total, seed)).distinct(), "active")
+        again = _summaries(docs, width, rule, seed).where("weak").select("set_id").distinct()
+        weak, seed = stash(weak.join(again, "set_id", "left_semi"), "weak"), seed + 1
     repeated = not filled.where("doc_id IS NOT NULL").groupBy("set_id", "doc_id").count().where("count > 1").isEmpty()
-    sets = _token_sets(docs, known.where("rep IS NOT NULL").join(active, "set_id"), width, repeated)
-    postings = _postings(sets, rule)
+    short = F.col("set_id").bitwiseAND(F.lit(_ID_MASK))
+    wanted = stash(known.where("rep IS NOT NULL").join(active, short == F.col("short_id")).drop("short_id"), "wanted")
+    postings = _postings(_token_sets(docs, wanted, width, repeated), known, rule)
+    # Only sets that still share a list are stored with all their shingles.
+    lively = postings.join(postings.groupBy("token").count().where("count > 1").select("token"), "token").select("set_id").distinct()
+    sets = stash(_token_sets(docs, stash(wanted.join(lively, "set_id", "left_semi"), "lively"), width, repeated), "token-sets")
     stars = _checked(_star_pairs(postings, rule), sets, rule)
     light = stash(_light_links(filled), "light")
     links = stars.where("linked").select("a", "b").unionByName(light)
