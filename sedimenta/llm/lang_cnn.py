@@ -28,6 +28,9 @@ from sedimenta.llm import textbytes as tb
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
+# Windows that a sampled text gives, and the windows that training sees at least.
+PLACES = 4
+SEEN = 40_000
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _ASCII_LETTER = np.zeros(256, bool)
@@ -85,7 +88,7 @@ def pad(pieces: list[bytes]) -> np.ndarray:
 
 
 def train(
-    windows: np.ndarray, labels: list[str], per_width: int = 8, size: int = 6, epochs: int = 6, seed: int = 7
+    windows: np.ndarray, labels: list[str], per_width: int = 8, size: int = 6, epochs: int = 4, seed: int = 7
 ) -> Network | None:
     """Gradient descent with Adam on padded windows; None without labels."""
     languages = tuple(sorted(set(labels)))
@@ -103,7 +106,7 @@ def train(
     second = {k: np.zeros_like(v) for k, v in values.items()}
     wanted = np.array([languages.index(x) for x in labels])
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, SEEN // max(1, len(windows)))):
         order = rng.permutation(len(windows))
         for batch in np.array_split(order, max(1, len(order) // 64)):
             step += 1
@@ -166,16 +169,17 @@ def predict(net: Network | None, texts: pa.Array) -> tuple[list[str], np.ndarray
 
 
 def sample_windows(docs: DataFrame, lang: str = "lang", per_language: int = 1500) -> tuple[np.ndarray, list[str]]:
-    """One window at a hashed place of each sampled text; about ``per_language`` texts a language."""
+    """Windows at hashed places of sampled texts; about ``per_language`` texts a language."""
     known = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull())
     sizes = {r[lang]: r["count"] for r in known.groupBy(lang).count().collect()}
     if not sizes:
         return np.zeros((0, WINDOW), np.uint8), []
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, per_language / n))])
-    place = F.pmod(F.xxhash64("text", F.lit(1)), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
+    place = F.pmod(F.xxhash64("text", "nth"), F.greatest(F.lit(1), F.length("text") - WINDOW)) + 1
     picked = (
         known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share[F.col(lang)] * (1 << 20))
-        .select(F.col(lang).alias("lang"), F.substring(F.col("text"), place.cast("int"), F.lit(WINDOW)).alias("piece"))
+        .select(F.col(lang).alias("lang"), "text", F.explode(F.sequence(F.lit(1), F.lit(PLACES))).alias("nth"))
+        .select("lang", F.substring(F.col("text"), place.cast("int"), F.lit(WINDOW)).alias("piece"))
         .where(F.col("piece").rlike(r"\p{L}"))
         .orderBy("lang", "piece")
         .collect()

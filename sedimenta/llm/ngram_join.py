@@ -63,10 +63,14 @@ class Window:
 
 @dataclass(frozen=True)
 class Threshold:
-    """Two sets link if percent * union <= 100 * intersection."""
+    """Two sets link if percent * union <= 100 * intersection; blocks can't tell sets apart below 75."""
 
     percent: int
 
+    def __post_init__(self) -> None:
+        if not 75 <= self.percent <= 100:
+            raise ValueError("the threshold must be from 75 to 100 percent")
+
     def need(self, n: int, m: int) -> int:
         return -(-self.percent * (n + m) // (100 + self.percent))
 
