@@ -27,7 +27,7 @@ _KIND[48:58] = _DIGIT
 _KIND[[32, *range(9, 14)]] = _BLANK
 _KIND[128:] = _UNKNOWN
 # Pieces that a worker remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def _kinds(data: np.ndarray) -> np.ndarray:

@@ -56,18 +56,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=1)
+def _common_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _make_powers(CHUNK_BYTES)
+
+
+def _make_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(int(_BASE), -1, 1 << 64)
     up, down = np.full(size, _BASE, np.uint64), np.full(size, np.uint64(inverse), np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and its inverse; a worker keeps those for a usual chunk only."""
+    return _common_powers() if size <= CHUNK_BYTES else _make_powers(size)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span; equal bytes hash alike wherever they stand."""
-    size = 1 << max(16, int(len(data)).bit_length())
-    up, down = _powers(size)
+    up, down = _powers(len(data))
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
     if not len(starts):
