@@ -242,11 +242,10 @@ def plain_reach(i: Inputs):
     queue, seen = [(root, 0)], {root}
     while queue:
         node, depth = queue.pop(0)
-        if depth < graph.MAX_DEPTH:
-            for r in i.edges.filter(F.col("to_id") == node).select("from_id").collect():
-                if r[0] not in seen:
-                    seen.add(r[0])
-                    queue.append((r[0], depth + 1))
+        for r in i.edges.filter(F.col("to_id") == node).select("from_id").collect():
+            if r[0] not in seen:
+                seen.add(r[0])
+                queue.append((r[0], depth + 1))
 
 
 PAIRS = {

@@ -377,7 +377,7 @@ def surrogate_keys_from_source_seeded(spark, sf_dir):
     keys = surrogate.ensure_key_table(spark, CTX, seed=True)
     source = table(spark, sf_dir, "orders")
     fresh = surrogate.generate_surrogate_keys(
-        source, keys, ["o_orderkey"], "SALES", CTX, from_staging=False, one_task_bytes=0
+        source, keys, ["o_orderkey"], "SALES", CTX, from_staging=False
     )
     return _key_rows(fresh)
 
@@ -399,7 +399,7 @@ def surrogate_keys_composite(spark, sf_dir):
 @query("SELECT DISTINCT text, DENSE_RANK() OVER (ORDER BY text) AS position FROM documents WHERE text IS NOT NULL")
 def distinct_text_positions(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("text").filter(F.col("text").isNotNull()).distinct()
-    return surrogate.number_distinct(texts, "text", one_task_bytes=0)
+    return surrogate.number_distinct(texts, "text")
 
 
 @query("""
@@ -411,13 +411,24 @@ def distinct_text_positions(spark, sf_dir):
 """)
 def natural_keys(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    single = natural_key(c, ["text"])
+    single = natural_key(c, ["text"], cut=True)
     return c.select(
-        "conv_id", "turn", natural_key(c, ["conv_id", "turn", "text"]).alias("natural_key"),
+        "conv_id", "turn", natural_key(c, ["conv_id", "turn", "text"], cut=True).alias("natural_key"),
         single.alias("single_key"), F.lower(F.hex(key_hash(single))).alias("key_hash"),
     )
 
 
+@query("""
+  SELECT conv_id, turn, text AS single_key,
+         trim(CAST(conv_id AS VARCHAR)) || '~|~' || CAST(turn AS VARCHAR) || '~|~' || trim(text) AS natural_key
+  FROM conversations
+""")
+def natural_keys_whole(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    parts = natural_key(c, ["conv_id", "turn", "text"]).alias("natural_key")
+    return c.select("conv_id", "turn", natural_key(c, ["text"]).alias("single_key"), parts)
+
+
 # --- record hashes ---------------------------------------------------------------------
 
 ORDER_HASH = hash_sql(

@@ -123,15 +123,16 @@ def latest_run_per_job(spark, sf_dir):
 
 
 @query("""
-  SELECT sr.step_id, sr.run_id, sr.step_run_id, sr.status, sr.rows_read, sr.rows_inserted, sr.rows_updated,
-         sr.was_skipped, s.step_name, s.step_order, s.step_category, r.job_id, j.job_name, r.status AS run_status
-  FROM step_run sr JOIN steps s ON sr.step_id = s.step_id JOIN job_run r ON sr.run_id = r.run_id
-  JOIN jobs j ON r.job_id = j.job_id
+  SELECT sr.step_id, r.run_id, sr.step_run_id, sr.status, sr.rows_read, sr.rows_inserted, sr.rows_updated,
+         sr.was_skipped, s.step_name, s.step_order, s.step_category, r.job_id, j.job_name, r.status AS run_status,
+         r.error_message AS run_error
+  FROM job_run r JOIN jobs j ON r.job_id = j.job_id
+  LEFT JOIN (step_run sr JOIN steps s ON sr.step_id = s.step_id) ON sr.run_id = r.run_id
 """)
 def run_step_details(spark, sf_dir):
     jobs, steps, _, _, job_run = _star(spark, sf_dir)
     flat = runlog.run_details(job_run, fixture(spark, sf_dir, "step_run"), jobs, steps)
-    return flat.drop("start_time", "end_time", "error_message")
+    return flat.drop("start_time", "end_time", "error_message", "run_start", "run_end", "run_seconds")
 
 
 @query("""

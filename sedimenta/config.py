@@ -133,7 +133,8 @@ class LoadSpec:
     up, ``"staging"`` expects it among the staging columns, ``None`` writes no key.
     ``close_mode`` is ``"current"`` (close rows flagged current) or ``"not_closed"`` (close
     every row whose flag differs from the closed value). ``null_keys`` is ``"insert"`` (a
-    row without a complete key is new on every run) or ``"reject"``.
+    row without a complete key is new on every run) or ``"reject"``. ``cut_keys`` shortens natural
+    keys as :func:`sedimenta.functions.text.natural_key` states, in key generation and all lookups.
     """
 
     business_key: Sequence[str]
@@ -147,6 +148,7 @@ class LoadSpec:
     close_mode: str = "current"
     null_keys: str = "insert"
     hash_truncate: int | None = None
+    cut_keys: bool = False
 
     def __post_init__(self) -> None:
         if not self.business_key:

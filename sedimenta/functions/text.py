@@ -61,23 +61,24 @@ def key_hash(natural_key: Column) -> Column:
     return F.unhex(F.sha2(natural_key, 256))
 
 
-def natural_key(df: DataFrame, columns: Sequence[str], normalise: bool = False) -> Column:
+def natural_key(df: DataFrame, columns: Sequence[str], normalise: bool = False, cut: bool = False) -> Column:
     """Text form of a business key.
 
-    A single column is cast and cut, a composite key trims and cuts each part and joins
-    them by a separator. ``concat`` is used because it turns null when any part is null.
+    A single column is cast, a composite key trims each part and joins them by a separator.
+    ``cut`` shortens a single key to 255 characters and each part of a composite key to 100,
+    for key tables that were filled that way; keys that differ later then count as one. ``concat`` is used because it turns null when any part is null.
     ``normalise`` makes keys compare without case and trailing blanks.
     """
     texts = [canonical_text(*_typed(df, c)) for c in columns]
     if normalise:
         texts = [F.upper(F.rtrim(t)) for t in texts]
     if len(texts) == 1:
-        return F.left(texts[0], F.lit(SINGLE_KEY_LENGTH))
+        return F.left(texts[0], F.lit(SINGLE_KEY_LENGTH)) if cut else texts[0]
     parts: list[Column] = []
     for i, text in enumerate(texts):
         if i:
             parts.append(F.lit(KEY_SEPARATOR))
-        parts.append(F.trim(F.left(text, F.lit(COMPOSITE_PART_LENGTH))))
+        parts.append(F.trim(F.left(text, F.lit(COMPOSITE_PART_LENGTH)) if cut else text))
     return F.concat(*parts)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.types import DEFAULT_TYPE, MAX_LENGTH
-from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique
+from sedimenta.operators.keyed_join import find_hot_keys, join_unique
 from sedimenta.operators.surrogate import number_distinct
 
 DELETED_MARK = " [DELETED]"
@@ -107,7 +107,7 @@ def candidates(dictionary: DataFrame, tables: DataFrame, databases: DataFrame) -
 # --- foreign types ---------------------------------------------------------------------
 
 
-def map_source_types(columns: DataFrame, rules: DataFrame, hot_min_bytes: int = MIN_BYTES) -> DataFrame:
+def map_source_types(columns: DataFrame, rules: DataFrame) -> DataFrame:
     """Target types for foreign columns, by a rule table.
 
     ``columns`` has ``source_datatype, max_length, precision, scale``; ``rules`` has
@@ -126,7 +126,7 @@ def map_source_types(columns: DataFrame, rules: DataFrame, hot_min_bytes: int =
         .agg(F.min(F.struct(*fields)).alias("_rule"))
     )
     keyed = columns.withColumn("_type", F.lower("source_datatype"))
-    joined = join_unique(keyed, first, ["_type"], find_hot_keys(keyed, ["_type"], hot_min_bytes))
+    joined = join_unique(keyed, first, ["_type"], find_hot_keys(keyed, ["_type"]))
 
     rule = {name: F.col(f"_rule.{name}") for name in fields}
 

@@ -1,9 +1,9 @@
 """Surrogate-key lookups: own key, foreign keys through key, master and bridge tables.
 
-Each lookup is a left join whose right side has one row per key. Key and master tables lie
-directly behind the join's shuffle, so adaptive execution can broadcast a small side by its
-measured size and split a hot or null key of the left side; a bridge is an aggregate on the
-join key, so there the join salts hot keys itself.
+Each lookup is a left join whose right side has one row per key. Key tables lie directly
+behind the join's shuffle, so adaptive execution can broadcast a small side by its measured
+size and split a hot or null key of the left side; master tables and bridges are aggregates
+on the join key, so there the join salts hot keys itself.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import UNKNOWN_SK, BridgeLookup, ForeignKey, KeyLookup, MasterLookup
 from sedimenta.functions.text import natural_key
-from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique
+from sedimenta.operators.keyed_join import find_hot_keys, join_unique
 
 
 def _domain_keys(key_table: DataFrame, domain: str) -> DataFrame:
@@ -33,35 +33,41 @@ def _lookup(df: DataFrame, key: Column, pairs: DataFrame, sk_column: str) -> Dat
 
 
 def _lookup_aggregated(
-    df: DataFrame, key: Column, pairs: DataFrame, sk_column: str, hot_min_bytes: int
+    df: DataFrame, key: Column, pairs: DataFrame, sk_column: str
 ) -> DataFrame:
     keyed = df.withColumn("_key", key)
     pairs = pairs.withColumnRenamed("_nk", "_key")
-    joined = join_unique(keyed, pairs, ["_key"], find_hot_keys(keyed, ["_key"], hot_min_bytes))
+    joined = join_unique(keyed, pairs, ["_key"], find_hot_keys(keyed, ["_key"]))
     found = F.coalesce(F.col("_sk"), F.lit(UNKNOWN_SK)).cast("long")
     return joined.select(*df.columns, found.alias(sk_column))
 
 
 def lookup_surrogate_key(
-    df: DataFrame, columns: Sequence[str], key_table: DataFrame, domain: str, sk_column: str
+    df: DataFrame, columns: Sequence[str], key_table: DataFrame, domain: str, sk_column: str,
+    cut: bool = False,
 ) -> DataFrame:
     """Own surrogate key by (natural key, domain)."""
-    return _lookup(df, natural_key(df, columns), _domain_keys(key_table, domain), sk_column)
+    return _lookup(df, natural_key(df, columns, cut=cut), _domain_keys(key_table, domain), sk_column)
 
 
-def master_pairs(fk: MasterLookup) -> DataFrame:
+def master_pairs(fk: MasterLookup, cut: bool = False) -> DataFrame:
+    """One surrogate key per parent key: the smallest that is not -1, else -1."""
     parent = fk.parent
     if fk.current_only is not None:
         parent = parent.filter(F.col(fk.current_only.current_flag) == fk.current_only.current_value)
-    return parent.select(
-        natural_key(parent, [fk.parent_bk]).alias("_nk"), F.col(fk.parent_sk).alias("_sk")
-    ).distinct()
+    known = F.min(F.when(F.col("_sk") != UNKNOWN_SK, F.col("_sk")))
+    return (
+        parent.select(natural_key(parent, [fk.parent_bk], cut=cut).alias("_nk"), F.col(fk.parent_sk).alias("_sk"))
+        .where(F.col("_nk").isNotNull())
+        .groupBy("_nk")
+        .agg(F.coalesce(known, F.lit(UNKNOWN_SK)).alias("_sk"))
+    )
 
 
-def bridge_pairs(fk: BridgeLookup) -> DataFrame:
+def bridge_pairs(fk: BridgeLookup, cut: bool = False) -> DataFrame:
     """One surrogate key per bridge key: the smallest one its rows lead to."""
     bridge = fk.bridge.select(
-        F.col(fk.bridge_key).alias("_bridge"), natural_key(fk.bridge, fk.bridge_natural_key).alias("_bk")
+        F.col(fk.bridge_key).alias("_bridge"), natural_key(fk.bridge, fk.bridge_natural_key, cut=cut).alias("_bk")
     )
     keys = _domain_keys(fk.key_table, fk.domain)
     return (
@@ -72,14 +78,14 @@ def bridge_pairs(fk: BridgeLookup) -> DataFrame:
 
 
 def resolve_foreign_keys(
-    df: DataFrame, foreign_keys: Sequence[ForeignKey], hot_min_bytes: int = MIN_BYTES
+    df: DataFrame, foreign_keys: Sequence[ForeignKey], cut: bool = False
 ) -> DataFrame:
     """Add one surrogate-key column per definition. Rows are kept; unresolved keys become -1."""
     for fk in foreign_keys:
         if isinstance(fk, KeyLookup):
-            df = lookup_surrogate_key(df, fk.columns, fk.key_table, fk.domain, fk.sk_column)
+            df = lookup_surrogate_key(df, fk.columns, fk.key_table, fk.domain, fk.sk_column, cut)
         elif isinstance(fk, MasterLookup):
-            df = _lookup(df, natural_key(df, [fk.column]), master_pairs(fk), fk.sk_column)
+            df = _lookup_aggregated(df, natural_key(df, [fk.column], cut=cut), master_pairs(fk, cut), fk.sk_column)
         else:
-            df = _lookup_aggregated(df, F.col(fk.column), bridge_pairs(fk), fk.sk_column, hot_min_bytes)
+            df = _lookup_aggregated(df, F.col(fk.column), bridge_pairs(fk, cut), fk.sk_column)
     return df

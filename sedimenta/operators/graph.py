@@ -17,8 +17,6 @@ from sedimenta.operators.lineage import EXTERNAL
 from sedimenta.operators.surrogate import number_distinct
 from sedimenta.sources.workspace import folder, stash, write_counted
 
-MAX_DEPTH = 12
-
 
 def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -37,9 +35,9 @@ def _neighbours(edges: DataFrame, direction: str) -> DataFrame:
 
 
 def reachable(
-    edges: DataFrame, roots: DataFrame, depth: int = MAX_DEPTH, direction: str = "upstream"
+    edges: DataFrame, roots: DataFrame, depth: int | None = None, direction: str = "upstream"
 ) -> DataFrame:
-    """Nodes within ``depth`` steps of each root: root_id, node_id, distance.
+    """Nodes within ``depth`` steps of each root, or at any distance: root_id, node_id, distance.
 
     ``roots`` has one column ``root_id``. Cycles end by themselves because a node is visited
     once per root. External objects are reached but not followed.
@@ -50,9 +48,9 @@ def reachable(
     levels = spark.read.schema("root_id string, node_id string, distance int")
     start = roots.select("root_id", F.col("root_id").alias("node_id")).distinct()
     found = write_counted(start, f"{base}/distance=0")
-    for distance in range(1, depth + 1):
-        if not found:
-            break
+    distance = 0
+    while found and (depth is None or distance < depth):
+        distance += 1
         reached = levels.parquet(base)
         following = (
             reached.filter(F.col("distance") == distance - 1)
@@ -67,11 +65,12 @@ def reachable(
 
 
 def dataflow_edges(
-    edges: DataFrame, reached: DataFrame, depth: int = MAX_DEPTH, direction: str = "upstream"
+    edges: DataFrame, reached: DataFrame, depth: int | None = None, direction: str = "upstream"
 ) -> DataFrame:
-    """Edges of the graph around each root: those of all nodes nearer than ``depth``."""
+    """Edges of the graph around each root: those of all nodes nearer than ``depth``, or of all nodes."""
+    near = F.lit(True) if depth is None else F.col("distance") < depth
     opened = reached.filter(
-        (F.col("distance") < depth) & ~F.startswith(F.col("node_id"), F.lit(EXTERNAL))
+        near & ~F.startswith(F.col("node_id"), F.lit(EXTERNAL))
     ).select("root_id", "node_id")
     ends = {"upstream": ["to_id"], "downstream": ["from_id"], "both": ["to_id", "from_id"]}[direction]
     found = [edges.join(opened, edges[end] == opened["node_id"]).drop("node_id") for end in ends]

@@ -15,16 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.sources.workspace import estimated_bytes
-
-# A key above one thousandth of all rows is always found by a sketch of this size, and at
-# most a thousand keys can be that frequent: this bounds the broadcast list of hot keys.
-MIN_SHARE = 1 / 1000
-SKETCH_ITEMS = 16384
-# Below this input size one task can hold even a third of all rows.
-MIN_BYTES = 1 << 30
-# A key is hot when it fills this many average partitions.
+# A key is hot when it fills this many average partitions. So at most half as many keys as
+# there are partitions can be hot, which bounds the broadcast list; the sketch tracks this
+# many items for each of them and so misses none.
 PARTITION_FACTOR = 2
+ITEMS_PER_KEY = 16
 # Rows that may remain of a hot key on the right side of a semi or anti join.
 KEY_SHARES = 64
 
@@ -42,7 +37,6 @@ class HotKeys:
 def find_hot_keys(
     df: DataFrame,
     keys: Sequence[str],
-    min_bytes: int = MIN_BYTES,
     partitions: int | None = None,
 ) -> HotKeys:
     """Keys that would overload a shuffle partition, found in one pass over the key columns.
@@ -51,14 +45,12 @@ def find_hot_keys(
     keys count as a key. Finding too few or too many keys changes the balance only, never
     the join result.
     """
-    if estimated_bytes(df) < min_bytes:
-        return HotKeys()
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = max(MIN_SHARE, PARTITION_FACTOR / n)
-    top = int(1 / MIN_SHARE)
+    share = PARTITION_FACTOR / n
+    top = max(1, n // PARTITION_FACTOR)
     row = (
         df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {top}, {SKETCH_ITEMS})").alias("top"))
+        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {top}, {max(1024, ITEMS_PER_KEY * top)})").alias("top"))
         .first()
     )
     hot = [(t["item"], t["count"] / row["n"]) for t in row["top"] if t["count"] > share * row["n"]]
@@ -96,7 +88,7 @@ def join_unique(
 
 
 def matching_keys(
-    df: DataFrame, keys: Sequence[str], spread_by: Sequence[str], min_bytes: int = MIN_BYTES
+    df: DataFrame, keys: Sequence[str], spread_by: Sequence[str]
 ) -> DataFrame:
     """Key columns for the right side of a semi or anti join, where repeats do no harm.
 
@@ -104,7 +96,7 @@ def matching_keys(
     columns. Grouping by more than the keys leaves the join's own shuffle directly under it,
     so a hot key on the left side can still be split.
     """
-    if not find_hot_keys(df, keys, min_bytes):
+    if not find_hot_keys(df, keys):
         return df.select(*keys)
     share = F.pmod(F.xxhash64(*spread_by), F.lit(KEY_SHARES))
     return df.select(*keys, share.alias("_share")).distinct().drop("_share")

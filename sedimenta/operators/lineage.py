@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sedimenta.config import RunContext
 from sedimenta.functions import viewtext
 from sedimenta.functions.text import timestamp
-from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique
+from sedimenta.operators.keyed_join import find_hot_keys, join_unique
 
 EXTERNAL = "EXT::"
 
@@ -44,7 +44,7 @@ def view_sources(views: DataFrame, carry: Sequence[str] = (), keep_empty: bool =
     )
 
 
-def resolve_objects(sources: DataFrame, objects: DataFrame, hot_min_bytes: int = MIN_BYTES) -> DataFrame:
+def resolve_objects(sources: DataFrame, objects: DataFrame) -> DataFrame:
     """Add ``source_id``: the table a name stands for, null if there is none.
 
     A name without a database that several tables share takes the smallest id.
@@ -59,7 +59,7 @@ def resolve_objects(sources: DataFrame, objects: DataFrame, hot_min_bytes: int =
     )
     keyed = sources.withColumn("_db", F.coalesce("source_db", F.lit("")))
     keys = ["_db", "source_name"]
-    return join_unique(keyed, known, keys, find_hot_keys(keyed, keys, hot_min_bytes)).drop("_db")
+    return join_unique(keyed, known, keys, find_hot_keys(keyed, keys)).drop("_db")
 
 
 def view_edges(resolved: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import UNKNOWN_SK, RunContext, Scd2Config
 from sedimenta.functions.text import timestamp
-from sedimenta.operators.keyed_join import MIN_BYTES, matching_keys
+from sedimenta.operators.keyed_join import matching_keys
 
 
 def merge_from_view(
@@ -21,7 +21,6 @@ def merge_from_view(
     sk_column: str,
     ctx: RunContext,
     cfg: Scd2Config = Scd2Config(),
-    hot_min_bytes: int = MIN_BYTES,
 ) -> DataFrame:
     """Rows to append: view rows whose (business key, valid-from) the target lacks.
 
@@ -30,7 +29,7 @@ def merge_from_view(
     """
     on = [business_key, cfg.valid_from]
     now = timestamp(ctx.run_ts)
-    present = matching_keys(target, on, target.columns, hot_min_bytes)
+    present = matching_keys(target, on, target.columns)
     missing = view.join(present, on, "left_anti")
     return missing.select(
         F.coalesce(F.col(source_sk), F.lit(UNKNOWN_SK)).cast("long").alias(sk_column),

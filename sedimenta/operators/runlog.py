@@ -142,16 +142,19 @@ def run_details(
 ) -> DataFrame:
     """Step runs with their job run, one row per step; for one run or for all of them.
 
+    A run without steps yet gives one row whose step columns are null.
     Rows stay flat: a nested list would gather all steps of a run in one place.
     """
     if run_id is not None:
         job_run = job_run.filter(F.col("run_id") == run_id)
         step_run = step_run.filter(F.col("run_id") == run_id)
     runs = job_run.join(jobs.select("job_id", "job_name"), "job_id").select(
-        "run_id", "job_id", "job_name", F.col("status").alias("run_status")
+        "run_id", "job_id", "job_name", F.col("status").alias("run_status"), F.col("start_time").alias("run_start"),
+        F.col("end_time").alias("run_end"), F.col("duration_seconds").alias("run_seconds"),
+        F.col("error_message").alias("run_error"),
     )
     named = steps.select("step_id", "step_name", "step_order", "step_category")
-    joined = step_run.join(named, "step_id").join(runs, "run_id")
+    joined = runs.join(step_run.join(named, "step_id"), "run_id", "left")
     return joined.orderBy("step_order") if run_id is not None else joined
 
 
@@ -186,9 +189,9 @@ def run_history(
     offset: int = 0,
 ) -> DataFrame:
     """A page of runs, newest first; every task keeps only the rows the page may need."""
-    if job_id:
+    if job_id is not None:
         job_run = job_run.filter(F.col("job_id") == job_id)
-    if status:
+    if status is not None:
         job_run = job_run.filter(F.col("status") == status)
     return job_run.orderBy(F.desc("start_time"), F.desc("run_id")).offset(offset).limit(limit)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from sedimenta.config import HIGH_DATE, Action, LoadSpec, RunContext, Scd2Config
 from sedimenta.functions.text import record_hash, timestamp
 from sedimenta.operators.foreign_keys import lookup_surrogate_key, resolve_foreign_keys
-from sedimenta.operators.keyed_join import MIN_BYTES, find_hot_keys, join_unique, matching_keys
+from sedimenta.operators.keyed_join import find_hot_keys, join_unique, matching_keys
 from sedimenta.sources.workspace import stash
 
 ACTION = "_action"
@@ -31,6 +32,13 @@ def hash_differs(incoming: Column, stored: Column) -> Column:
     return incoming != stored
 
 
+def hash_parts(stored: Column) -> list[Column]:
+    """A hash of up to 32 bytes as numbers of up to 60 bits, and its length."""
+    digits = F.hex(stored)
+    parts = [F.conv(F.substring(digits, at, 15), 16, 10).cast("long") for at in range(1, 65, 15)]
+    return [*[F.when(stored.isNotNull(), F.coalesce(p, F.lit(0))) for p in parts], F.octet_length(stored).cast("long")]
+
+
 def open_rows(history: DataFrame, spec: LoadSpec) -> Column:
     """Rows a load may close. A null flag is unknown and stays out."""
     flag = F.col(spec.scd2.current_flag)
@@ -44,13 +52,14 @@ def _staged(staging: DataFrame, spec: LoadSpec) -> DataFrame:
 
 
 def classify(
-    staging: DataFrame, history: DataFrame, spec: LoadSpec, hot_min_bytes: int = MIN_BYTES
+    staging: DataFrame, history: DataFrame, spec: LoadSpec
 ) -> DataFrame:
     """Staging rows with their record hash and an action: NEW, CHANGED or UNCHANGED.
 
-    The current side shrinks to one row per key before the join: smallest and largest stored
-    hash. Some current row differs from a batch row exactly when one of the two does, so
-    several current rows of one key neither multiply the batch nor lose a change.
+    The current side shrinks to one row per key before the join: smallest and largest value
+    of each part of the stored hash. Some current row differs from a batch row exactly when
+    one of these does, so several current rows of one key neither multiply the batch nor lose
+    a change. The parts are numbers, so that the aggregation needs no sort.
     """
     cfg, keys = spec.scd2, list(spec.business_key)
     staging = _staged(staging, spec)
@@ -61,29 +70,33 @@ def classify(
         .dropna(how="any", subset=keys)
         .groupBy(*keys)
         .agg(
-            F.min(cfg.record_hash).alias("_low"),
-            F.max(cfg.record_hash).alias("_high"),
+            *[F.min(p).alias(f"_low{i}") for i, p in enumerate(hash_parts(F.col(cfg.record_hash)))],
+            *[F.max(p).alias(f"_high{i}") for i, p in enumerate(hash_parts(F.col(cfg.record_hash)))],
             F.lit(True).alias("_known"),
         )
     )
-    hot = find_hot_keys(staging, keys, hot_min_bytes)
+    hot = find_hot_keys(staging, keys)
     joined = join_unique(hashed, stored, keys, hot)
-    incoming = F.col(cfg.record_hash)
+    differs = [
+        hash_differs(part, F.col(f"{end}{i}"))
+        for i, part in enumerate(hash_parts(F.col(cfg.record_hash)))
+        for end in ("_low", "_high")
+    ]
     action = (
         F.when(F.col("_known").isNull(), Action.NEW)
-        .when(hash_differs(incoming, F.col("_low")) | hash_differs(incoming, F.col("_high")), Action.CHANGED)
+        .when(reduce(Column.__or__, differs), Action.CHANGED)
         .otherwise(Action.UNCHANGED)
     )
     return joined.withColumn(ACTION, action).select(*hashed.columns, ACTION)
 
 
 def identify_new(
-    staging: DataFrame, history: DataFrame, spec: LoadSpec, hot_min_bytes: int = MIN_BYTES
+    staging: DataFrame, history: DataFrame, spec: LoadSpec
 ) -> DataFrame:
     """Staging rows without a current version. Keys whose versions are all closed are new again."""
     keys = list(spec.business_key)
     current = current_rows(history, spec.scd2)
-    known = matching_keys(current, keys, [spec.scd2.record_hash], hot_min_bytes)
+    known = matching_keys(current, keys, [spec.scd2.record_hash])
     return _staged(staging, spec).join(known, keys, "left_anti")
 
 
@@ -97,12 +110,11 @@ def mark_closed(
     changed: DataFrame,
     spec: LoadSpec,
     ctx: RunContext,
-    hot_min_bytes: int = MIN_BYTES,
 ) -> DataFrame:
     """History with the open versions of the changed keys closed, plus ``_closed_now``."""
     cfg, keys = spec.scd2, list(spec.business_key)
     hit = changed.select(*keys).dropna(how="any").distinct().withColumn("_hit", F.lit(True))
-    hot = find_hot_keys(history, keys, hot_min_bytes)
+    hot = find_hot_keys(history, keys)
     joined = join_unique(history, hit, keys, hot)
     closes = F.coalesce(F.col("_hit") & open_rows(history, spec), F.lit(False))
     now = timestamp(ctx.run_ts)
@@ -139,8 +151,8 @@ def new_versions(
     if spec.surrogate == "key_table":
         if key_table is None:
             raise ValueError("this load looks its key up in a key table, but none was given")
-        df = lookup_surrogate_key(df, spec.business_key, key_table, spec.domain, spec.sk_column)
-    df = resolve_foreign_keys(df, spec.foreign_keys)
+        df = lookup_surrogate_key(df, spec.business_key, key_table, spec.domain, spec.sk_column, spec.cut_keys)
+    df = resolve_foreign_keys(df, spec.foreign_keys, spec.cut_keys)
     now = timestamp(ctx.run_ts)
     technical = {
         cfg.record_hash: F.col(cfg.record_hash),
@@ -198,13 +210,12 @@ def combine(
     spec: LoadSpec,
     ctx: RunContext,
     key_table: DataFrame | None = None,
-    hot_min_bytes: int = MIN_BYTES,
 ) -> Scd2Result:
     """Close and insert versions for a classified batch."""
     tagged = tagged.filter(F.col(ACTION) != Action.UNCHANGED)
     changed = tagged.filter(F.col(ACTION) == Action.CHANGED)
     is_open = F.coalesce(open_rows(history, spec), F.lit(False))
-    marked = mark_closed(history.filter(is_open), changed, spec, ctx, hot_min_bytes)
+    marked = mark_closed(history.filter(is_open), changed, spec, ctx)
     inserted = new_versions(tagged, spec, ctx, key_table)
     rows = marked.unionByName(inserted.withColumn(CLOSED_NOW, F.lit(False)))
     return Scd2Result(rows=rows, inserted=inserted, past=history.filter(~is_open))
@@ -216,19 +227,18 @@ def apply(
     spec: LoadSpec,
     ctx: RunContext,
     key_table: DataFrame | None = None,
-    durable: bool = False,
-    hot_min_bytes: int = MIN_BYTES,
+    durable: bool = True,
 ) -> Scd2Result:
     """One SCD-2 load as a plan over history and batch.
 
     Only open rows take part in joins; with a history partitioned by its flag the closed
-    versions are never read. ``durable`` writes the new and changed batch rows once to the
-    shared folder, so that closing and inserting do not repeat the classification.
+    versions are never read. ``durable`` (the default) writes the new and changed batch rows once to
+    the shared folder, so that closing and inserting do not repeat the classification.
     """
-    tagged = classify(staging, history, spec, hot_min_bytes).filter(F.col(ACTION) != Action.UNCHANGED)
+    tagged = classify(staging, history, spec).filter(F.col(ACTION) != Action.UNCHANGED)
     if durable:
         tagged = stash(tagged, "classified")
-    return combine(tagged, history, spec, ctx, key_table, hot_min_bytes)
+    return combine(tagged, history, spec, ctx, key_table)
 
 
 def full_reload(

@@ -10,12 +10,10 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import KEY_TABLE_SCHEMA, UNKNOWN_SK, RunContext
 from sedimenta.functions.text import key_hash, natural_key, timestamp
-from sedimenta.sources.workspace import estimated_bytes, stash
+from sedimenta.sources.workspace import stash
 
 # monotonically_increasing_id keeps the row number of a partition in its lower 33 bits.
 _ROW_BITS = 33
-# Frames up to this estimated size are numbered by a single task.
-ONE_TASK_BYTES = 8 << 20
 
 
 def ensure_key_table(
@@ -46,21 +44,16 @@ def ensure_key_table(
     return table.unionByName(member)
 
 
-def number_distinct(
-    df: DataFrame, *columns: str, position: str = "position", one_task_bytes: int = ONE_TASK_BYTES
-) -> DataFrame:
+def number_distinct(df: DataFrame, *columns: str, position: str = "position") -> DataFrame:
     """Positions 1..n of the rows of a frame, in the order of columns that tell them apart.
 
     Equals ``dense_rank`` over the whole frame, without a window that puts all rows into one
     task: rows are range-partitioned and sorted, written once so that the sampled range
     bounds stay fixed, and each row adds the size of the partitions before its own to its
-    number within the partition. Only one count per partition reaches the driver. A frame
-    that is estimated to be small is numbered in one sorted partition right away.
+    number within the partition. Only one count per partition reaches the driver.
     """
     spark = df.sparkSession
     row_id = F.monotonically_increasing_id()
-    if estimated_bytes(df) <= one_task_bytes:
-        return df.repartition(1).sortWithinPartitions(*columns).withColumn(position, row_id + 1)
     ordered = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_id", row_id)
     fixed = stash(ordered, "ranked")
     part = F.shiftrightunsigned("_id", _ROW_BITS)
@@ -84,13 +77,14 @@ def new_natural_keys(
     business_key: Sequence[str],
     domain: str,
     normalise: bool = False,
+    cut: bool = False,
 ) -> DataFrame:
     """Distinct non-null natural keys of the source that the key table lacks for this domain."""
     known = key_table.filter(F.col("NATURAL_KEY_DOMAIN") == domain).select(
         F.col("NATURAL_KEY_VALUE").alias("natural_key")
     )
     return (
-        source.select(natural_key(source, business_key, normalise).alias("natural_key"))
+        source.select(natural_key(source, business_key, normalise, cut).alias("natural_key"))
         .filter(F.col("natural_key").isNotNull())
         .distinct()
         .join(known, "natural_key", "left_anti")
@@ -105,7 +99,7 @@ def generate_surrogate_keys(
     ctx: RunContext,
     from_staging: bool = True,
     normalise: bool = False,
-    one_task_bytes: int = ONE_TASK_BYTES,
+    cut: bool = False,
 ) -> DataFrame:
     """Key-table rows for the natural keys of ``source`` that are not registered yet.
 
@@ -113,8 +107,8 @@ def generate_surrogate_keys(
     One run at a time may generate keys for a table.
     """
     top = key_table.agg(F.coalesce(F.max("SURROGATE_KEY"), F.lit(0))).first()[0]
-    fresh = new_natural_keys(source, key_table, business_key, domain, normalise)
-    numbered = number_distinct(fresh, "natural_key", one_task_bytes=one_task_bytes)
+    fresh = new_natural_keys(source, key_table, business_key, domain, normalise, cut)
+    numbered = number_distinct(fresh, "natural_key")
     creator = f"ETL_KEY_GEN_{domain}" if from_staging else "ETL_KEY_GEN"
     return numbered.select(
         (F.lit(top) + F.col("position")).alias("SURROGATE_KEY"),

@@ -7,19 +7,19 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.config import (
     JOB_RUN_SCHEMA,
     STEP_RUN_SCHEMA,
-    Action,
     LoadSpec,
     RunContext,
     RunStatus,
 )
 from sedimenta.operators import scd2
-from sedimenta.operators.surrogate import generate_surrogate_keys
+from sedimenta.operators.surrogate import ensure_key_table, generate_surrogate_keys
 from sedimenta.sources.versioned import VersionedTable
 from sedimenta.sources.workspace import stash
 
@@ -41,32 +41,53 @@ def load_history(
     key_path: str | None = None,
     initial: bool = False,
 ) -> LoadCounts:
-    """Generate missing keys, apply the batch, publish the new version, count by action.
+    """Generate missing keys, apply the batch, publish the new version, count what was written.
 
-    An initial load starts from an empty target; its key table is kept.
+    The staging frame is evaluated once. A key table that doesn't exist yet is created. An
+    initial load starts from an empty target; its key table is kept. Rows read are those of
+    the staging frame, rows inserted and updated those that the publishing job wrote anew and
+    closed.
     """
+    staging = stash(staging, "staged")
+    rows_read = staging.count()
     keys = None
     if spec.surrogate == "key_table":
         if key_path is None:
             raise ValueError("this load needs the path of its key table")
-        known = spark.read.parquet(key_path)
-        fresh = generate_surrogate_keys(staging, known, spec.business_key, spec.domain, ctx)
+        known = _key_table(spark, key_path, ctx)
+        fresh = generate_surrogate_keys(
+            staging, known, spec.business_key, spec.domain, ctx, cut=spec.cut_keys
+        )
         fresh.write.mode("append").parquet(key_path)
         keys = spark.read.schema(known.schema).parquet(key_path)
     empty = spark.createDataFrame([], target.schema)
     current = empty if initial else target.current(spark)
 
-    tagged = stash(scd2.classify(staging, current, spec), "classified")
-    counts = {r["action"]: r["row_count"] for r in scd2.action_counts(tagged).collect()}
-    result = scd2.combine(tagged, current, spec, ctx, keys)
-    target.publish(result.rows, reset=initial)
+    open_before = current.filter(scd2.open_rows(current, spec)).count()
+    result = scd2.apply(current, staging, spec, ctx, keys)
+    seen = Observation("published")
+    rows = result.rows.observe(seen, F.count("*").alias("rows"), F.count_if(scd2.CLOSED_NOW).alias("closed"))
+    target.publish(rows, reset=initial)
     return LoadCounts(
-        rows_read=sum(counts.values()),
-        rows_inserted=counts.get(Action.NEW, 0) + counts.get(Action.CHANGED, 0),
-        rows_updated=counts.get(Action.CHANGED, 0),
+        rows_read=rows_read, rows_inserted=seen.get["rows"] - open_before, rows_updated=seen.get["closed"]
     )
 
 
+def _key_table(spark: SparkSession, path: str, ctx: RunContext) -> DataFrame:
+    """The stored key table; a new one starts with the default member."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    ensure_key_table(spark, ctx).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def _utc_now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
 def load_with_log(
     spark: SparkSession,
     log_root: str,
@@ -74,19 +95,25 @@ def load_with_log(
     job_id: int,
     steps: list[tuple[int, Callable[[], LoadCounts]]],
     execution_mode: str = "DELTA",
+    now: Callable[[], datetime] = _utc_now,
 ) -> str:
-    """Run load steps and append one ``job_run`` row and one ``step_run`` row per step.
+    """Run load steps and write one ``job_run`` row and one ``step_run`` row per step.
 
+    The run's row says RUNNING before the first step starts and is replaced at the end, so a
+    driver that dies leaves a row that :func:`sedimenta.operators.runlog.fail_stale` finds.
     The first failing step ends the run with status FAILED; the error is logged and raised.
     """
 
-    def now() -> datetime:
-        return datetime.now(timezone.utc).replace(tzinfo=None)
+    def log_run(*values) -> None:
+        rows = spark.createDataFrame([(run_id, job_id, started, *values, execution_mode, None)], JOB_RUN_SCHEMA)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("run_id").parquet(f"{log_root}/job_run")
 
     def seconds(start: datetime, end: datetime) -> Decimal:
         return Decimal(str((end - start).total_seconds())).quantize(Decimal("0.000001"))
 
     started, status, error = now(), RunStatus.SUCCESS, None
+    log_run(None, None, RunStatus.RUNNING, None, None)
     rows = []
     for number, (step_id, step) in enumerate(steps, start=1):
         begin = now()
@@ -98,7 +125,7 @@ def load_with_log(
         end = now()
         rows.append(
             (
-                run_id * 1000 + number, run_id, step_id, begin, end, seconds(begin, end), status,
+                (run_id << 20) + number, run_id, step_id, begin, end, seconds(begin, end), status,
                 counts.rows_read, counts.rows_inserted, counts.rows_updated, counts.rows_deleted,
                 str(error) if error else None, "N", None,
             )
@@ -106,12 +133,9 @@ def load_with_log(
         if error:
             break
     ended = now()
-    run = (
-        run_id, job_id, started, ended, seconds(started, ended), status,
-        str(error) if error else None, repr(error) if error else None, execution_mode, None,
-    )
     spark.createDataFrame(rows, STEP_RUN_SCHEMA).write.mode("append").parquet(f"{log_root}/step_run")
-    spark.createDataFrame([run], JOB_RUN_SCHEMA).write.mode("append").parquet(f"{log_root}/job_run")
+    message, stack = (str(error), repr(error)) if error else (None, None)
+    log_run(ended, seconds(started, ended), status, message, stack)
     if error:
         raise error
     return status

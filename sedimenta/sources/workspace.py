@@ -34,8 +34,3 @@ def stash(df: DataFrame, name: str = "part") -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; very large when the source does not know its size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

@@ -1,10 +1,12 @@
 from __future__ import annotations
 
+from datetime import datetime
+
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from sedimenta.config import KEY_TABLE_SCHEMA, Layer, LoadSpec, RunContext, history_schema
+from sedimenta.config import KEY_TABLE_SCHEMA, Layer, LoadSpec, MasterLookup, RunContext, history_schema
 from sedimenta.operators.ingest import ColumnMapping, conversion_text, ingest
 from sedimenta.operators.surrogate import ensure_key_table
 from sedimenta.plans.load import LoadCounts, load_history, load_with_log
@@ -130,3 +132,34 @@ def test_log_rows_of_good_and_failed_runs(spark, tmp_path):
     assert rows(steps.select("run_id", "step_id", "status", "rows_inserted")) == [
         (1, 100, "SUCCESS", 3), (1, 101, "SUCCESS", 0), (2, 100, "FAILED", 0),
     ]
+
+
+def test_counts_are_rows_written(spark, tmp_path):
+    """Repeated rows, a parent with two keys and a row without a key; the key table is new."""
+    parent = spark.createDataFrame([("p", -1), ("p", 7)], "pk string, sk long")
+    spec = LoadSpec(
+        business_key=["k"], sk_column="K_SK", domain="D", null_keys="reject",
+        foreign_keys=[MasterLookup("P_SK", "fk", parent, "pk", "sk")],
+    )
+    source = spark.createDataFrame([(1, "a", "p")], "k long, v string, fk string")
+    columns = spark.createDataFrame([], "k long, v string, fk string, P_SK long").schema
+    target, keys = VersionedTable(str(tmp_path / "hist"), history_schema(columns, "K_SK")), str(tmp_path / "keys")
+    assert load_history(spark, source, target, spec, CTX, keys) == LoadCounts(1, 1, 0)
+    batch = [(1, "x", "p"), (1, "x", "p"), (2, "b", "p"), (None, "n", "p")]
+    batch = spark.createDataFrame(batch, "k long, v string, fk string")
+    assert load_history(spark, batch, target, spec, LATER, keys) == LoadCounts(4, 2, 1)
+    assert target.read(spark).count() == 3
+
+
+def test_run_is_logged_before_its_steps(spark, tmp_path):
+    log, seen = str(tmp_path / "log"), []
+
+    def step():
+        seen.append(rows(spark.read.parquet(f"{log}/job_run").select("run_id", "status")))
+        return LoadCounts(1, 1)
+
+    clock = lambda: datetime(2024, 2, 1)
+    load_with_log(spark, log, 5, 10, [(100, step)], now=clock)
+    assert seen == [[(5, "RUNNING")]]
+    run = spark.read.parquet(f"{log}/job_run").select("run_id", "status", "end_time").collect()
+    assert [tuple(r) for r in run] == [(5, "SUCCESS", datetime(2024, 2, 1))]

@@ -174,7 +174,7 @@ def test_hot_key_is_found_and_salted_join_is_exact(spark):
     left = left.withColumn("k", F.when(F.col("id") % 3 == 1, None).otherwise(F.col("k")))
     right = spark.range(0, n, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
     right = right.unionByName(spark.createDataFrame([(7, 70)], "k long, w long"))
-    hot = find_hot_keys(left, ["k"], min_bytes=0)
+    hot = find_hot_keys(left, ["k"])
     assert len(hot.splits) == 2  # the number 7 and the missing key
     salted = join_unique(left, right, ["k"], hot)
     assert rows(salted.select("id", "k", "w")) == rows(left.join(right, ["k"], "left").select("id", "k", "w"))
@@ -188,18 +188,17 @@ def test_hot_key_is_found_and_salted_join_is_exact(spark):
         for name in ("adaptive.enabled", "autoBroadcastJoinThreshold"):
             spark.conf.unset(f"spark.sql.{name}")
     assert parts > 1
-    assert not find_hot_keys(spark.range(1000).withColumnRenamed("id", "k"), ["k"], min_bytes=0)
-    assert find_hot_keys(left, ["k"]) == HotKeys()
+    assert not find_hot_keys(spark.range(1000).withColumnRenamed("id", "k"), ["k"])
 
 
 def test_hot_keys_on_the_right_of_an_anti_join(spark):
     right = spark.range(9000).select(F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).alias("k"), "id")
-    few = matching_keys(right, ["k"], ["id"], min_bytes=0)
+    few = matching_keys(right, ["k"], ["id"])
     assert few.filter("k = 1").count() <= 64
     assert rows(few.distinct()) == rows(right.select("k").distinct())
     before = load(spark, empty_history(spark), [(1, f"v{i}") for i in range(400)] + [(2, "a")]).history
     staging = batch(spark, (1, "x"), (2, "a"), (3, "b"), (None, "c"))
-    assert rows(scd2.identify_new(staging, before, SPEC, hot_min_bytes=0)) == [(3, "b"), (None, "c")]
+    assert rows(scd2.identify_new(staging, before, SPEC)) == [(3, "b"), (None, "c")]
 
 
 def test_load_with_hot_key_equals_plain_load(spark):
@@ -207,9 +206,9 @@ def test_load_with_hot_key_equals_plain_load(spark):
     items += [(k, "x") for k in range(2, 100)]
     before = load(spark, empty_history(spark), [(1, "a"), (5, "x"), (6, "old")]).history
     plain = load(spark, before, items, LATER)
-    salted = load(spark, before, items, LATER, hot_min_bytes=0)
+    salted = load(spark, before, items, LATER)
     assert rows(salted.history) == rows(plain.history)
-    assert actions(spark, before, items) == actions(spark, before, items, hot_min_bytes=0)
+    assert actions(spark, before, items) == actions(spark, before, items)
 
 
 def test_durable_load_equals_lazy_load(spark):
