@@ -7,7 +7,7 @@ with the entity as a share of the entity's information content,
 
     PMI(e; t) / IC(e) = 1 + log2(p(e | t)) / IC(e),
 
-with document counts over the whole corpus. Every occurrence of a word above the upper
+with counts of rows over the whole corpus. Every occurrence of a word above the upper
 threshold is removed, above the lower one it is generalised to its shape.
 
 Cases: null counts as empty. Matches that fail their test are dropped without a retry. Exact
@@ -133,8 +133,8 @@ def revealing_terms(docs: DataFrame, span: DataFrame, support: int = MIN_SUPPORT
         # No word has the support, whatever its count: the corpus need not be counted.
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
     total = docs.count()
-    wanted = pairs.select("term").distinct()
-    counts = _words_of(docs).distinct().join(wanted, "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Counted before the join: each task adds up its words, and only one row a word and task is shuffled.
+    counts = _words_of(docs).groupBy("term").agg(F.count("*").alias("n_term"))
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
     share = F.least(F.lit(1.0), F.col("n_both") / F.greatest("n_term", "n_both"))
     disclosure = F.when(content > 0, 1 + F.log2(share) / content).otherwise(0.0)
