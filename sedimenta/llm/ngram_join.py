@@ -350,9 +350,11 @@ def _postings(sets: DataFrame, sizes: DataFrame, rule: Threshold) -> DataFrame:
     A token is written as its count and 48 bits of its hash, so that its order is its value.
     """
     each = sets.select("set_id", F.explode("tokens").alias("token"))
+    # 48 bits are shuffled, not 64: tokens that then look alike only bring sets together, and the check reads whole ones.
+    each = each.select("set_id", F.shiftrightunsigned("token", 16).alias("token"))
     counts = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.shiftleft(F.least(F.col("df"), F.lit(32767)).cast("long"), 48)
-    shared = each.join(counts, "token").select("set_id", rank.bitwiseOR(F.shiftrightunsigned("token", 16)).alias("token"))
+    shared = each.join(counts, "token").select("set_id", rank.bitwiseOR(F.col("token")).alias("token"))
     ordered = shared.groupBy("set_id").agg(F.sort_array(F.collect_list("token")).alias("list")).join(sizes.select("set_id", "n"), "set_id")
     lone = F.col("n") - F.size("list")
     length = F.col("n") - F.ceil(F.lit(rule.percent) * F.col("n") / F.lit(100)) + 1
