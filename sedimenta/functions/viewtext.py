@@ -1,9 +1,9 @@
 """Reading object and column references out of view texts, with column expressions only.
 
 Each text is handled within its row by patterns and array functions. Stated limits: table
-names after a derived table in a comma list are missed, so is a FROM inside a function call
-whose first argument itself contains a call, and only a SELECT outside all parentheses
-yields a column list.
+names after a derived table in a comma list are missed (``may_miss_sources`` reports such
+texts), so is a FROM inside a function call whose first argument itself contains a call, and
+only a SELECT outside all parentheses yields a column list.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_ID = r'(?:"[^"]++"|[A-Za-z_#$][\w#$]*+)'
+_ID = r'(?:"[^"]++"|[\p{L}_#$][\p{L}\p{M}\p{N}_#$]*+)'
 _NAME = rf"{_ID}(?:\s*\.\s*{_ID})*+(?!\s*\()"
 # Words that end a table reference and so are no aliases.
 _CLAUSES = (
@@ -20,7 +20,10 @@ _CLAUSES = (
 )
 _ALIAS = rf"(?:\s+(?:AS\s+)?(?!(?:{_CLAUSES})\b){_ID})?"
 _ITEM = rf"{_NAME}{_ALIAS}"
-_TABLES = rf"(?i)\b(?:FROM|JOIN)\s+({_ITEM}(?:\s*,\s*{_ITEM})*)"
+_QUERY = r"(?:SELECT|SEL|WITH|VALUES)\b"
+_TABLES = rf"(?i)\b(?:FROM|JOIN)\b[\s(]+(?!{_QUERY})({_ITEM}(?:\s*,\s*{_ITEM})*)"
+# A derived table, and somewhere after it a closing parenthesis with an alias and a comma.
+_LIST_AFTER_QUERY = rf"(?is)(?:\bFROM|\bJOIN|,)\s*\(+\s*{_QUERY}.*\)\s*(?:AS\s+)?(?!(?:{_CLAUSES})\b){_ID}\s*(?:\([^()]*\)\s*)?,"
 _CTE = rf"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)({_ID})\s*(?:\([^()]*\))?\s*AS\s*\("
 _COMMENTS = r"""(?s)('[^']*+(?:''[^']*+)*+'|"[^"]*+")|--[^\n]*+|/\*.*?\*/"""
 _LITERAL = r"'[^']*+(?:''[^']*+)*+'"
@@ -48,17 +51,22 @@ def _code(ddl: Column) -> Column:
     return F.regexp_replace(bare, _FROM_IN_CALL, "$1(")
 
 
-def _plain(name: Column) -> Column:
-    return F.regexp_replace(name, r'["\s]', "")
+def _plain(part: Column) -> Column:
+    return F.regexp_replace(part, '^"|"$', "")
+
+
+def _parts(name: Column) -> Column:
+    """The parts of a dotted name; what stands in quotes is one part, blanks and dots included."""
+    return F.transform(F.regexp_extract_all(name, F.lit(rf"{_ID}|\*"), 0), _plain)
 
 
 def table_items(ddl: Column) -> Column:
     """Array of (db, name, alias) for each table reference, in the case of the text."""
     lists = F.regexp_extract_all(_code(ddl), F.lit(_TABLES), 1)
-    items = F.flatten(F.transform(lists, lambda s: F.split(s, r"\s*,\s*")))
+    items = F.flatten(F.transform(lists, lambda s: F.regexp_extract_all(s, F.lit(f"(?i){_ITEM}"), 0)))
 
     def entry(item: Column) -> Column:
-        parts = F.split(_plain(F.regexp_extract(item, f"(?i)^({_NAME})", 1)), r"\.")
+        parts = _parts(F.regexp_extract(item, f"(?i)^({_NAME})", 1))
         alias = _plain(F.regexp_extract(item, rf"(?i)^{_NAME}\s+(?:AS\s+)?({_ID})$", 1))
         return F.struct(
             F.try_element_at(parts, F.when(F.size(parts) > 1, F.lit(-2)).otherwise(F.lit(2))).alias("db"),
@@ -69,6 +77,14 @@ def table_items(ddl: Column) -> Column:
     return F.transform(items, lambda s: entry(F.trim(s)))
 
 
+def may_miss_sources(ddl: Column) -> Column:
+    """Whether a comma list may go on after a derived table, which the patterns don't read.
+
+    Errs on the side of reporting: a scalar subquery with an alias in a select list counts too.
+    """
+    return F.coalesce(_code(ddl).rlike(_LIST_AFTER_QUERY), F.lit(False))
+
+
 def cte_names(ddl: Column) -> Column:
     return F.transform(F.regexp_extract_all(_code(ddl), F.lit(_CTE), 1), lambda n: F.upper(_plain(n)))
 
@@ -168,7 +184,7 @@ def column_refs(expression: Column) -> Column:
     )
 
     def entry(name: Column) -> Column:
-        parts = F.split(_plain(name), r"\.")
+        parts = _parts(name)
         return F.struct(
             F.try_element_at(parts, F.when(F.size(parts) > 1, F.lit(-2)).otherwise(F.lit(2))).alias("alias"),
             F.element_at(parts, -1).alias("column"),

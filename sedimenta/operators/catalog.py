@@ -36,7 +36,7 @@ def database_counts(layers: DataFrame, databases: DataFrame) -> DataFrame:
     """Layers with their number of databases."""
     per_layer = databases.groupBy("layer_id").agg(F.count("database_id").alias("database_count"))
     counted = layers.join(per_layer, "layer_id", "left")
-    return counted.fillna(0, ["database_count"]).orderBy("layer_sequence")
+    return counted.fillna(0, ["database_count"])
 
 
 def table_counts(
@@ -51,7 +51,6 @@ def table_counts(
         databases.join(named, "layer_id")
         .join(per_database, "database_id", "left")
         .fillna(0, ["table_count"])
-        .orderBy("layer_sequence", "database_name")
     )
 
 
@@ -60,7 +59,7 @@ def column_counts(tables: DataFrame, columns: DataFrame, database_id: int | None
     if database_id is not None:
         tables = tables.filter(F.col("database_id") == database_id)
     per_table = columns.groupBy("table_id").agg(F.count("column_id").alias("column_count"))
-    return tables.join(per_table, "table_id", "left").fillna(0, ["column_count"]).orderBy("table_name")
+    return tables.join(per_table, "table_id", "left").fillna(0, ["column_count"])
 
 
 def search_tables(
@@ -81,7 +80,7 @@ def search_tables(
             F.upper("table_name").like(pattern) | F.upper("comment_string").like(pattern)
         )
     named = databases.select("database_id", "database_name")
-    return tables.join(named, "database_id").orderBy("database_name", "table_name")
+    return tables.join(named, "database_id")
 
 
 def candidates(dictionary: DataFrame, tables: DataFrame, databases: DataFrame) -> DataFrame:
@@ -100,7 +99,6 @@ def candidates(dictionary: DataFrame, tables: DataFrame, databases: DataFrame) -
             F.coalesce("comment_string", F.lit("")).alias("comment_string"),
             F.when(F.col("_known"), "Y").otherwise("N").alias("in_meta"),
         )
-        .orderBy("in_meta", "table_name", "db_name")
     )
 
 

@@ -59,6 +59,8 @@ def typed(source: DataFrame, mappings: Sequence[ColumnMapping]) -> DataFrame:
     for m in mappings:
         raw = _source_value(source, m)
         dtype = spark_type(m.target_type)
+        if isinstance(dtype, T.StructType):
+            raise ValueError(f"{m.target_name}: no single column can be cast to {m.target_type}")
         value = raw.cast("string") if isinstance(dtype, T.StringType) else raw.try_cast(dtype)
         values.append(value.alias(m.target_name))
         failed = raw.isNotNull() & value.isNull()

@@ -44,6 +44,11 @@ def view_sources(views: DataFrame, carry: Sequence[str] = (), keep_empty: bool =
     )
 
 
+def unread_views(views: DataFrame) -> DataFrame:
+    """``view_id`` of views whose sources may be incomplete: their texts have forms that are not read."""
+    return views.filter(viewtext.may_miss_sources(F.col("ddl"))).select("view_id")
+
+
 def resolve_objects(sources: DataFrame, objects: DataFrame) -> DataFrame:
     """Add ``source_id``: the table a name stands for, null if there is none.
 

@@ -83,14 +83,12 @@ def job_overview(details: DataFrame, active_only: bool = False, layer_id: int |
         details = details.filter(F.col("is_active") == "Y")
     if layer_id is not None:
         details = details.filter((F.col("source_layer_id") == layer_id) | (F.col("target_layer_id") == layer_id))
-    return details.orderBy("job_id")
+    return details
 
 
 def jobs_by_transition(details: DataFrame, source_layer: int, target_layer: int) -> DataFrame:
     """Jobs that lead from one layer to another."""
-    return details.filter(
-        (F.col("source_layer_id") == source_layer) & (F.col("target_layer_id") == target_layer)
-    ).orderBy("job_name")
+    return details.filter((F.col("source_layer_id") == source_layer) & (F.col("target_layer_id") == target_layer))
 
 
 def tables_with_load_status(
@@ -133,7 +131,6 @@ def tables_with_load_status(
                 "is_used_as_source": F.col("downstream_job_id").isNotNull(),
             }
         )
-        .orderBy("database_name", "table_name")
     )
 
 
@@ -154,8 +151,7 @@ def run_details(
         F.col("error_message").alias("run_error"),
     )
     named = steps.select("step_id", "step_name", "step_order", "step_category")
-    joined = runs.join(step_run.join(named, "step_id"), "run_id", "left")
-    return joined.orderBy("step_order") if run_id is not None else joined
+    return runs.join(step_run.join(named, "step_id"), "run_id", "left")
 
 
 def run_totals(step_run: DataFrame, steps: DataFrame) -> DataFrame:
@@ -244,7 +240,7 @@ def job_performance(jobs: DataFrame, job_run: DataFrame, job_id: int | None = No
         "job_id", "job_name", total.alias("total_runs"), "run_count", "success_count", "failed_count",
         "avg_duration_seconds", "min_duration_seconds", "max_duration_seconds",
         (F.col("success_count") / total * 100).alias("success_rate"),
-    ).orderBy("job_id")
+    )
 
 
 def fail_stale(runs: DataFrame, as_of: str, hours: int = STALE_HOURS, message: str = STALE_MESSAGE) -> DataFrame:
@@ -264,11 +260,14 @@ def import_status(jobs: DataFrame, job_run: DataFrame, names: Sequence[str]) ->
     """For each table name, the bulk-load job whose name matches it and its last finished run.
 
     ``%`` and ``_`` in a name act as wildcards. With several matching jobs the smallest job
-    id counts. Matches are unfolded within each job row, so no join over name pairs is needed.
+    id counts. Matches are unfolded within each job row, so no join over name pairs is needed;
+    the names are one array, so the plan doesn't grow with them.
     """
     spark = jobs.sparkSession
-    wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "source_table string")
-    matches = F.array_compact(F.array(*[F.when(F.col("job_name").like(f"%{n}%"), F.lit(n)) for n in names]))
+    names = list(dict.fromkeys(names))
+    wanted = spark.createDataFrame([(n,) for n in names], "source_table string")
+    pattern = lambda n: F.concat(F.lit("%"), n, F.lit("%"))
+    matches = F.filter(F.lit(names), lambda n: F.like("job_name", pattern(n)))
     first = (
         jobs.filter(F.col("job_type") == BULK_LOAD)
         .select("job_id", F.explode(matches).alias("source_table"))

@@ -15,7 +15,10 @@ SOURCES = [
     ("SELECT * FROM a.t1, t2 x, b.t3 AS y WHERE x.i = 1", {("A", "T1"), (None, "T2"), ("B", "T3")}),
     ("SELECT * FROM a.t1 LEFT OUTER JOIN a.t2 ON t1.x = t2.x", {("A", "T1"), ("A", "T2")}),
     ("SELECT * FROM cat.a.t1", {("A", "T1")}),
-    ('SELECT * FROM "My Db"."My Table"', {("MYDB", "MYTABLE")}),
+    ('SELECT * FROM "My Db"."My Table"', {("MY DB", "MY TABLE")}),
+    ("SELECT * FROM (DB.A a JOIN DB.B b ON a.x = b.x)", {("DB", "A"), ("DB", "B")}),
+    ("SELECT * FROM DB.Kündigung k, DB.\"a,b\" AS c, DB.\"a.b\"", {("DB", "KÜNDIGUNG"), ("DB", "A,B"), ("DB", "A.B")}),
+    ("SELECT * FROM ((SELECT * FROM a.t1) q JOIN a.t2 ON 1 = 1)", {("A", "T1"), ("A", "T2")}),
     ("SELECT 'it''s FROM x.y' FROM a.t1 -- FROM b.no\n", {("A", "T1")}),
     ("SELECT EXTRACT(DAY FROM d), TRIM(BOTH ' ' FROM n) FROM a.t1", {("A", "T1")}),
     ("SELECT * FROM (SELECT * FROM a.inner_t) q", {("A", "INNER_T")}),
@@ -34,6 +37,18 @@ def test_sources(spark, number):
     assert {tuple(r) for r in lineage.view_sources(df).select("source_db", "source_name").collect()} == want
 
 
+def test_texts_that_may_miss_sources(spark):
+    texts = [
+        (1, "SELECT * FROM (SELECT a FROM DB.P) s, DB.Q"),
+        (2, "SELECT * FROM DB.P p, (SELECT a FROM DB.Q) s (x), DB.R"),
+        (3, "SELECT * FROM DB.P p, DB.Q q"),
+        (4, "SELECT f(x) y, z FROM (SELECT a FROM DB.P) s WHERE z IN (1, 2)"),
+        (5, None),
+    ]
+    df = spark.createDataFrame(texts, "view_id long, ddl string")
+    assert sorted(rows(lineage.unread_views(df))) == [(1,), (2,)]
+
+
 ITEMS = [
     ("SELECT a, b.c AS d, f(x, g(y), 'p, q') e FROM t", [("a", "a"), ("b.c", "d"), ("f(x, g(y), 'p, q')", "e")]),
     ("SELECT DISTINCT CASE WHEN a = 1 THEN b ELSE c END FROM t", [("CASE WHEN a = 1 THEN b ELSE c END",) * 2]),
