@@ -106,15 +106,20 @@ class Threshold:
 
     @lru_cache(maxsize=4)  # noqa: B019
     def windows(self, most: int) -> list[Window]:
-        """Windows up to a size; every two sizes that can link lie in one of them."""
+        """All windows that begin at a size or below; every two sizes that can link lie in one of them.
+
+        A size lies in the same windows whatever the largest size is.
+        """
         out = [self.window(max(1, -(-self.percent * self.boundary // 100)))]
-        while out[-1].hi < most:
+        while True:
             hi = out[-1].hi
             lo = self.percent * hi // 100
             while 100 * lo // self.percent <= hi:
                 lo += 1
-            out.append(self.window(max(lo, out[-1].lo + 1)))
-        return out
+            lo = max(lo, out[-1].lo + 1)
+            if lo > most:
+                return out
+            out.append(self.window(lo))
 
     def column_need(self, n: Column, m: Column) -> Column:
         return F.ceil(F.lit(self.percent) * (n + m) / F.lit(100 + self.percent))

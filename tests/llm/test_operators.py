@@ -83,6 +83,25 @@ def test_jaccard_components(docs, width, percent):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == want
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_windows_of_a_size(percent):
+    rule = ngram_join.Threshold(percent)
+    every = rule.windows(1 << 15)
+    holding = lambda n, windows: {w.lo for w in windows if w.lo <= n <= w.hi}
+    for n in range(rule.boundary, 10000):
+        own = holding(n, rule.windows(1 << max(8, n.bit_length())))
+        assert own == holding(n, every) and own & holding(100 * n // percent, every)
+
+
+@pytest.mark.parametrize(("width", "percent", "sizes"), [(3, 90, (8000, 8500)), (5, 80, (500, 560))])
+def test_links_across_batches(spark, width, percent, sizes):
+    one, other = [
+        spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(n + width - 1)))], "doc_id long, text string") for i, n in enumerate(sizes)
+    ]
+    got = ngram_join.jaccard_components(one.unionByName(other), width, percent).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(0, sizes[0], 0), (1, sizes[1], 0)}
+
+
 def test_no_documents(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
