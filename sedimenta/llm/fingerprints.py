@@ -98,8 +98,9 @@ def following(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     bucket = F.size(F.filter(steps, lambda c: id_key < c)) if cuts else F.lit(0)
     order = [F.col("id_key").desc(), F.col("tie")]
     dealt = rows.select("doc_id", "text", id_key.alias("id_key"), F.xxhash64("text").alias("tie"), bucket.alias("bucket"))
-    heads = dealt.groupBy("bucket").agg(F.min(F.struct(-F.col("id_key"), "tie")).alias("head"))
-    listed = sorted((r["bucket"], -r["head"][0], r["head"]["tie"]) for r in heads.collect())
+    # Inverted bits turn the order around, and unlike a negated number never overflow.
+    heads = dealt.groupBy("bucket").agg(F.min(F.struct(F.bitwise_not("id_key").alias("turned"), "tie")).alias("head"))
+    listed = sorted((r["bucket"], ~r["head"]["turned"], r["head"]["tie"]) for r in heads.collect())
     schema = "h_key long, h_tie long, guest int"
     guests = [(key, tie, listed[i - 1][0]) for i, (_, key, tie) in enumerate(listed)]
     heading = F.broadcast(spark.createDataFrame(guests, schema))

@@ -253,6 +253,39 @@ def test_fingerprints(docs, empty):
     assert fingerprints.following(empty).count() == 0
 
 
+def _hashes(spark, shingles):
+    """The hash of each shingle of one to five words, put together from two of half its size."""
+    h = [F.xxhash64(F.col("s")[i]) for i in range(5)]
+    five = F.xxhash64(F.xxhash64(F.xxhash64(h[0], h[1]), F.xxhash64(h[2], h[3])), h[4])
+    short = F.xxhash64(F.transform("s", lambda w: F.xxhash64(w)))
+    df = spark.createDataFrame([(list(s),) for s in shingles], "s array<string>")
+    return {tuple(r.s): r.h for r in df.select("s", F.when(F.size("s") < 5, short).otherwise(five).alias("h")).collect()}
+
+
+def test_fingerprints_of_query(spark, docs, tmp_path):
+    more = [(None, f"no id {' '.join(WORDS[i : i + 60])}") for i in range(3)] + [(None, None), (-5, "less than nothing " * 9)]
+    rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    tied = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).collect()
+    order = sorted(tied, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.tie))
+    pairs = [(a, b.text) for a, b in zip(order, order[1:] + order[:1])]
+    texts = [(a.doc_id, a.text, a.text[: len(a.text) - len(a.text) // 2] + b[: len(a.text) // 2], b) for a, b in pairs]
+    hashes = _hashes(spark, {s for _, *three in texts for t in three for s in _shingles(t, 5)})
+
+    def near(a, b):
+        one, two = ({hashes[s] for s in _shingles(t, 5)} for t in (a, b))
+        if one == two:
+            return 1.0
+        one, two = ({h for h in s if h < -(2**63) + 2**61} for s in (one, two))
+        return len(one & two) / len(one | two) if one | two else 0.0
+
+    want = collections.Counter(
+        (doc, len(t), hashlib.sha256(e.encode()).hexdigest(), round(near(t, e), 9), round(near(t, n), 9)) for doc, t, e, n in texts
+    )
+    got = queries.op7_fingerprints(spark, str(tmp_path)).collect()
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got) == want
+
+
 def test_sketch_estimates(spark):
     one, two = " ".join(f"a{i}" for i in range(4000)), " ".join(f"a{i}" for i in range(2000, 5000))
     df = spark.createDataFrame([(one, two)], "one string, two string")
