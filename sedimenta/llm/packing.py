@@ -7,13 +7,16 @@ other, removes the bins that hold the same documents, and puts displaced documen
 fit. Between epochs the elite of each island migrates to the next; at the end the best island
 of each shard stands.
 
-Cases: a null text counts as empty, one end token. Only longer texts than a sequence are cut;
+Cases: a null text counts as empty, one end token. The tokenizer's added tokens keep their own
+ids wherever a text holds them, the longest first, as the tokenizer does by default. Only longer texts than a sequence are cut;
 their first piece may be shorter. Repeated rows are packed each for itself. An empty table gives
 no rows.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -52,6 +55,47 @@ def _encoder(path: str) -> PieceEncoder:
     return PieceEncoder(encode)
 
 
+@lru_cache(maxsize=1)
+def _added(path: str) -> tuple[re.Pattern[bytes] | None, dict[bytes, int]]:
+    """A pattern of the tokenizer's added tokens, and their ids."""
+    with open(path, encoding="utf-8") as file:
+        listed = json.load(file).get("added_tokens") or []
+    if any(t.get(k) for t in listed for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that depend on what stands beside them are not supported")
+    ids = {t["content"].encode(): t["id"] for t in listed}
+    return (re.compile(b"|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True))) if ids else None), ids
+
+
+def _text_ids(encoder: PieceEncoder, path: str, texts: pa.Array) -> list[np.ndarray]:
+    """Ids of each text: those of the parts between added tokens, and of the tokens themselves."""
+    data, offsets = tb.buffers(texts)
+    pattern, numbers = _added(path)
+    whole = data.tobytes()
+    if pattern is None or not pattern.search(whole):
+        ids, bounds = encoder(data, offsets)
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+    parts: list[bytes] = []
+    marks: list[list[int]] = []
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist()):
+        text, at, met = whole[a:b], 0, []
+        for m in pattern.finditer(text):
+            parts.append(text[at : m.start()])
+            met.append(numbers[m[0]])
+            at = m.end()
+        parts.append(text[at:])
+        marks.append(met)
+    ends = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    ids, bounds = encoder(np.array(bytearray(b"".join(parts)), np.uint8), ends)
+    out, k = [], 0
+    for met in marks:
+        own = [ids[bounds[k] : bounds[k + 1]]]
+        for i, number in enumerate(met, k + 1):
+            own += [np.array([number], ids.dtype), ids[bounds[i] : bounds[i + 1]]]
+        out.append(np.concatenate(own))
+        k += len(met) + 1
+    return out
+
+
 def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32``."""
     schema = docs.select("doc_id").schema
@@ -62,10 +106,9 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
         encoder = _encoder(path)
         for batch in batches:
             for part in tb.chunks(batch):
-                ids, bounds = encoder(*tb.buffers(part["text"]))
                 rows = []
-                for i in range(part.num_rows):
-                    own = np.append(ids[bounds[i] : bounds[i + 1]], end_id).astype("<u4")
+                for i, ids in enumerate(_text_ids(encoder, path, part["text"])):
+                    own = np.append(ids, end_id).astype("<u4")
                     first = (len(own) - 1) % capacity + 1
                     cuts = [0, *range(first, len(own) + 1, capacity)]
                     rows += [(i, k, a, b - a, zlib.crc32(own[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]

@@ -321,6 +321,21 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_added_tokens(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"{end}{end} x", f"<|endof{end}text|>", "<|endof", "text|> y", None, f"é{end}" * 1500 + " 中文"]
+    real = tokenizers.Tokenizer.from_file(path)
+    want = []
+    for i, t in enumerate(texts):
+        ids = [*real.encode(t or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        want += [(i, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))) for a, b in zip(cuts, cuts[1:])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in packing.pack_documents(df, path).collect()) == want
+
+
 def test_quality(spark, docs, empty):
     own, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
     met = qda.classify(own, labels, learn=queries._fold(3) != 1).join(labels, "doc_id").where(queries._fold(3) == 1)
