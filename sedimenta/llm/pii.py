@@ -1,18 +1,18 @@
 """Information-theoretic sanitisation of personal data, with built-in functions only.
 
 Base entities (email, ip, card, phone) come from patterns. Then the corpus tells which words
-give an entity away: for each entity value that occurs in several different contexts, the words
-around it are its candidates, and a candidate's disclosure is its pointwise mutual information
+give an entity away: for each entity value that occurs in several different texts, the words
+around it, over line breaks too, are its candidates, and a candidate's disclosure is its pointwise mutual information
 with the entity as a share of the entity's information content,
 
     PMI(e; t) / IC(e) = 1 + log2(p(e | t)) / IC(e),
 
-with counts of rows over the whole corpus. Every occurrence of a word above the upper
+with counts of different texts over the whole corpus. Every occurrence of a word above the upper
 threshold is removed, above the lower one it is generalised to its shape.
 
-Cases: null counts as empty. Matches that fail their test are dropped without a retry. Exact
-and near copies of a context count once, so copies alone never make a word revealing. Rows
-without a doc_id are worked on like others; repeated rows get the same spans. An empty table
+Cases: null counts as empty. Matches that fail their test are dropped without a retry. Copies of
+a text count once on both sides, so copies alone never make a word revealing; different texts
+with the same words beside an entity count each. Rows without a doc_id are worked on like others; repeated rows get the same spans. An empty table
 gives an empty result. Other columns pass through.
 """
 
@@ -35,7 +35,7 @@ PATTERNS = {
 TERM = "term"
 CONTEXT_CHARS = 80
 CONTEXT_WORDS = 4
-# Contexts that an entity, and a word with it, must have in common to count as evidence.
+# Texts that an entity, and a word with it, must have in common to count as evidence.
 MIN_SUPPORT = 3
 GENERALISE, REMOVE = 0.75, 0.9
 _ROW = ["_doc", "_hash"]
@@ -102,39 +102,57 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return placed.where(_valid(F.col("kind"), F.col("found"))).select(*_ROW, "kind", "start", "end", "found", "before", "after")
 
 
+def _entity() -> Column:
+    return F.concat("kind", F.lit(":"), F.lower("found"))
+
+
 def _near_words(span: DataFrame) -> DataFrame:
-    """Rows ``entity, context, term``: the words beside each entity, on its own line."""
+    """Rows ``entity, _hash, term``: the words beside each entity, and the text they stand in."""
     words = lambda c: F.regexp_extract_all(c, F.lit(r"\p{L}{3,}"), F.lit(0))
-    before = F.element_at(F.split(F.col("before"), "\n", -1), -1)
-    after = F.split(F.col("after"), "\n", -1)[0]
     close = F.concat(
-        F.reverse(F.slice(F.reverse(words(before)), 1, CONTEXT_WORDS)), F.slice(words(after), 1, CONTEXT_WORDS)
+        F.reverse(F.slice(F.reverse(words(F.col("before"))), 1, CONTEXT_WORDS)), F.slice(words(F.col("after")), 1, CONTEXT_WORDS)
     )
-    entity = F.concat("kind", F.lit(":"), F.lower("found"))
     terms = F.array_distinct(F.transform(close, lambda w: F.lower(w)))
-    found = span.select(entity.alias("entity"), terms.alias("terms"))
-    context = F.xxhash64(F.array_sort("terms"))
-    return found.select("entity", context.alias("context"), F.explode("terms").alias("term")).distinct()
+    return span.select(_entity().alias("entity"), "_hash", F.explode(terms).alias("term")).distinct()
 
 
 def _words_of(docs: DataFrame) -> DataFrame:
     """Rows ``_doc, _hash, term`` of the distinct words of every text."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all("_text", F.lit(r"\p{L}{3,}"), F.lit(0)), lambda w: F.lower(w)))
-    return _keyed(docs).select(*_ROW, F.explode(words).alias("term"))
+    return _keyed(docs).select(*_ROW, F.explode(_words(F.col("_text"))).alias("term"))
+
+
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}{3,}"), F.lit(0)), lambda w: F.lower(w)))
+
+
+def _text_counts(docs: DataFrame) -> tuple[int, DataFrame]:
+    """The number of different texts, and rows ``term, n_term``: in how many of them each word stands.
+
+    Words are counted over all rows, less what the further copies of a text add; so only texts
+    that have copies are brought together, once each.
+    """
+    hashed = docs.select(F.xxhash64("text").alias("_hash"), F.coalesce("text", F.lit("")).alias("_text"))
+    sizes = hashed.groupBy("_hash").agg(F.count("*").alias("copies"))
+    copied = stash(sizes.where("copies > 1"), "copied-texts")
+    total = docs.count() - (copied.agg(F.sum(F.col("copies") - 1)).first()[0] or 0)
+    # Counted before the join with pairs: each task adds up its words, and only one row a word and task is shuffled.
+    rows = hashed.select(F.explode(_words(F.col("_text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    once = hashed.join(copied.select("_hash"), "_hash", "left_semi").groupBy("_hash").agg(F.first("_text").alias("_text"))
+    further = once.join(copied, "_hash").select(F.explode(_words(F.col("_text"))).alias("term"), (1 - F.col("copies")).alias("n"))
+    further = further.groupBy("term").agg(F.sum("n").alias("n"))
+    return total, rows.unionByName(further).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def revealing_terms(docs: DataFrame, span: DataFrame, support: int = MIN_SUPPORT, threshold: float = GENERALISE) -> DataFrame:
     """Rows ``term, disclosure`` of words that give away an entity at or above the threshold."""
     near = stash(_near_words(span), "near-words")
-    sizes = near.select("entity", "context").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    sizes = span.select(_entity().alias("entity"), "_hash").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = near.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     pairs = stash(pairs.join(sizes, "entity"), "term-pairs")
     if pairs.isEmpty():
         # No word has the support, whatever its count: the corpus need not be counted.
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
-    total = docs.count()
-    # Counted before the join: each task adds up its words, and only one row a word and task is shuffled.
-    counts = _words_of(docs).groupBy("term").agg(F.count("*").alias("n_term"))
+    total, counts = _text_counts(docs)
     content = F.log2(F.lit(float(total)) / F.col("n_entity"))
     share = F.least(F.lit(1.0), F.col("n_both") / F.greatest("n_term", "n_both"))
     disclosure = F.when(content > 0, 1 + F.log2(share) / content).otherwise(0.0)

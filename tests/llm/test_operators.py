@@ -191,6 +191,21 @@ def test_pii_terms(spark):
     assert "term:4:11" in got[0] and got[200] == "term:10:17" and got[50] == ""
 
 
+def test_pii_terms_of_texts(spark):
+    # The same words beside an address in different texts, on its line and on the line above; then copies.
+    texts = [f"number n{chr(97 + i)}x of many\nZyxwolf Quarn john@x.com" for i in range(6)]
+    texts += [f"Yours, Brimtal\nkate@y.org\nthing {'abcdef'[i]}zz" for i in range(6)]
+    texts += [f"{w} Dromvik sends anna@z.net {w}" for w in ("red", "blue", "green", "black")] * 50
+    texts += ["one text with Plonkers and bob@w.net in it"] * 100
+    texts += [f"about many a thing, number {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    total, counts = pii._text_counts(df)
+    words = collections.Counter(w for t in set(texts) for w in {x.lower() for x in re.findall(r"[^\W\d_]{3,}", t)})
+    assert total == len(set(texts)) and {r.term: r.n_term for r in counts.collect()} == words
+    terms = {r.term: r.disclosure for r in pii.revealing_terms(df, pii.base_spans(df)).collect()}
+    assert all(terms.get(t) == 1 for t in ("zyxwolf", "quarn", "brimtal", "dromvik")) and "plonkers" not in terms and "thing" not in terms
+
+
 def test_rules(docs, empty):
     rows = quality_rules.apply_rules(docs).collect()
     want = collections.Counter()
