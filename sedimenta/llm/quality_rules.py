@@ -4,8 +4,7 @@ Counts come from built-in functions over whole texts. For each ratio, a mergeabl
 sketch (KLL) is built per language and source; sketches of a language merge into one for
 groups that are too small, and all of them into one for the rest. A document fails where a
 ratio lies beyond its group's upper fence: the group's upper quantile plus a multiple of its
-spread, never tighter than the same fence for all documents. Documents meet their
-thresholds through a join.
+spread, whatever the fence of all documents is. Documents meet their thresholds through a join.
 
 Cases: a null text has no words and fails the base rule. A null language or source is a group
 of its own. A constant ratio makes the fence that constant plus the least slack. Repeated rows
@@ -107,7 +106,8 @@ def thresholds(rows: DataFrame, lang: str, source: str, stats: str) -> DataFrame
     sketches = stash(sketches, "sketches")
     merge = [F.expr(f"kll_merge_agg_double({k})").alias(k) for k in names]
     by_lang = sketches.groupBy("g_lang").agg(F.sum("n").alias("n"), *merge)
-    overall = sketches.agg(*[F.expr(f"kll_merge_agg_double({k})").alias(f"all_{k}") for k in names])
+    # Without rows there is no sketch to ask.
+    overall = sketches.agg(F.sum("n").alias("all_n"), *[F.expr(f"kll_merge_agg_double({k})").alias(f"all_{k}") for k in names]).where("all_n > 0")
     fences = lambda df, tag, *keys: df.select(*keys, F.col("n").alias(f"{tag}_n"), *[_fence(k, SLACK[k]).alias(f"{tag}_{k}") for k in names])
     own = fences(sketches, "own", "g_lang", "g_source")
     lang_wide = fences(by_lang, "lang", F.col("g_lang").alias("l_lang"))
@@ -116,7 +116,7 @@ def thresholds(rows: DataFrame, lang: str, source: str, stats: str) -> DataFrame
 
     def chosen(k: str) -> Column:
         group = F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{k}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{k}"))
-        return F.greatest(group, F.col(f"all_{k}"))
+        return F.coalesce(group, F.col(f"all_{k}"))
 
     return joined.select("g_lang", "g_source", *[chosen(k).alias(f"max_{k}") for k in names])
 

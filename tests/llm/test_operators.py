@@ -232,6 +232,17 @@ def test_rules_keep_good(spark):
     assert met.where("quality = 1").select(F.avg(F.col("kept").cast("int"))).first()[0] > 0.98
 
 
+def test_rules_of_a_tight_group(spark):
+    # A source with a third of all rows and many symbols must not loosen the fences of the others.
+    words = [f"word{i}" for i in range(30)]
+    text = lambda i, symbols: " ".join([*words, f"n{i}", *[f"#{k}" for k in range(symbols)]])
+    rows = [(i, text(i, i % 60), "en", "hot") for i in range(400)]
+    rows += [(1000 + i, text(i, 20 if i < 10 else i % 2), "en", "tight") for i in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r.doc_id for r in quality_rules.apply_rules(df).where("kept").collect()}
+    assert kept.isdisjoint(range(1000, 1010)) and kept >= {*range(1010, 1800), *range(400)}
+
+
 def test_bpe(docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
