@@ -8,8 +8,9 @@ one hands no block on.
 
 Cases: a null URL, or one without ``://``, has an empty host and path and fits no rule. Pages
 with the same address are one node. Rows repeat as they come in; an empty table gives no rows.
-Links that are no absolute URL or a path from the root are left out. Other columns pass
-through.
+Relative links start from the address of their page; a ``base`` element is not read. An
+ampersand written as an entity counts as one. Links of other schemes (``mailto:``) and mere
+fragments tie nothing. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ ALLOW, BLOCK = "allow", "block"
 CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\s\"'>]+)"
+AMPERSAND = r"(?i)&(?:amp|#0*38|#x0*26);"
 REFRESH_URL = r"(?i)\burl\s*=\s*[\"']?([^\s\"'>;]+)"
 
 
@@ -86,9 +88,10 @@ def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.col(url).alias("url"), F.col(html).alias("html"), F.lower(html).alias("low")
     )
     own = own.where(F.col("low").contains("canonical") | F.col("low").contains("refresh"))
+    plain = lambda t: F.regexp_replace(t, AMPERSAND, "&")
     tags = F.concat(
-        F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(t, HREF, 1)),
-        F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(t, REFRESH_URL, 1)),
+        F.transform(F.regexp_extract_all("html", F.lit(CANONICAL), F.lit(0)), lambda t: F.regexp_extract(plain(t), HREF, 1)),
+        F.transform(F.regexp_extract_all("html", F.lit(REFRESH), F.lit(0)), lambda t: F.regexp_extract(plain(t), REFRESH_URL, 1)),
     )
     found = own.select("url", F.explode(tags).alias("to"))
     return _absolute(found)
@@ -99,14 +102,33 @@ def redirect_links(redirects: DataFrame, source: str = "url", target: str = "to"
     return _absolute(redirects.select(F.col(source).alias("url"), F.col(target).alias("to")))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` steps taken."""
+    steps = F.split(path, "/", -1)
+    step = lambda done, x: (
+        F.when(x == "..", F.slice(done, 1, F.greatest(F.lit(0), F.size(done) - 1))).when(x == ".", done).otherwise(F.concat(done, F.array(x)))
+    )
+    taken = F.aggregate(F.slice(steps, 2, F.size(steps)), F.array().cast("array<string>"), step)
+    taken = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(taken, F.array(F.lit("")))).otherwise(taken)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(taken, "/"))).otherwise(path)
+
+
 def _absolute(found: DataFrame) -> DataFrame:
-    to = F.col("to")
+    to, url = F.col("to"), F.col("url")
+    path = F.regexp_extract(to, r"^[^?#]*", 0)
+    own = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    resolved = (
+        F.when(path == "", own)
+        .when(to.startswith("/"), _without_dots(path))
+        .otherwise(_without_dots(F.concat(F.regexp_extract(own, r"^.*/", 0), path)))
+    )
     full = (
-        F.when(to.contains("://"), to)
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
         .when(to.startswith("//"), F.concat(F.lit("x:"), to))
-        .when(to.startswith("/"), F.concat(F.lit("x://"), host_of(F.col("url")), to))
-    )
-    ends = found.select(address(F.col("url")).alias("a"), address(full).alias("b"))
+        .when((to != "") & ~to.startswith("#") & ~to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"),
+              F.concat(F.lit("x://"), host_of(url), resolved, F.regexp_extract(to, r"\?[^#]*", 0)))
+    )
+    ends = found.select(address(url).alias("a"), address(full).alias("b"))
     return ends.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
 
 

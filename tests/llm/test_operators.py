@@ -135,6 +135,27 @@ def test_url_filter(spark):
     }
 
 
+def test_url_filter_link_forms(spark):
+    link, page = '<link rel="canonical" href="{}">', "http://a.org/d/e/f?x=1"
+    moved = '<meta http-equiv="refresh" content="0; url={}">'
+    forms = {
+        "page2.html": "a.org/d/e/page2.html", "../x": "a.org/d/x", "../../../x?y=../z": "a.org/x?y=../z", "./": "a.org/d/e/", "..": "a.org/d/",
+        "?id=3": "a.org/d/e/f?id=3", "/r/./s?u=http://b.org/": "a.org/r/s?u=http://b.org/", "g?u=http://b.org/#z": "a.org/d/e/g?u=http://b.org/",
+        "//B.org/x": "b.org/x", "http://b.org/x?p=1&amp;q=2": "b.org/x?p=1&q=2", "http://b.org/x?p=1&#38;q=2": "b.org/x?p=1&q=2",
+        "h?p=1&#x26;q=2": "a.org/d/e/h?p=1&q=2", "mailto:me@b.org": None, "#top": None,
+    }
+    for tag in (link, moved):
+        for to, want in forms.items():
+            pages = spark.createDataFrame([(page, tag.format(to))], "url string, html string")
+            assert [(r.a, r.b) for r in url_filter.page_links(pages).collect()] == [("a.org/d/e/f?x=1", want)] * (want is not None), to
+    rows = [
+        (1, "http://a.net/es/x?p=1&q=2", None), (2, "http://b.org/x", link.format("http://a.net/es/x?p=1&amp;q=2")),
+        (3, "http://b.org/d/y", link.format("../x")), (4, "http://c.org", moved.format("z")), (5, "http://c.org/z", link.format("//b.org/x")),
+    ]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.verdict for r in url_filter.judge(df, queries.RULES).collect()} == dict.fromkeys(range(1, 6), "block")
+
+
 def test_language(spark, docs, empty):
     own = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = lang_cnn.identify(own, learn=queries._fold(5) != 0)
