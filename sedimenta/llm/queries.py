@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.llm import (
-    bpe, fingerprints, lang_cnn, line_dedup, ngram_join, packing, pii, qda, quality_rules, url_filter,
+    bpe, fingerprints, lang_cnn, line_dedup, ngram_join, packing, pii, qda, quality_rules, resampling, spelling,
+    suffix_dedup, url_filter,
 )
 from sedimenta.llm.url_filter import Rule
 
@@ -91,17 +92,120 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(detail.kept_text, 256).alias("kept_sha256"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(_table(spark, sf_dir, "documents"))
+    return spelling.group_variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    detail = F.col(suffix_dedup.DETAIL)
+    counts = [detail[c].alias(c) for c in ("n_bytes", "n_removed", "n_spans")]
+    return done.select("doc_id", *counts, F.sha2(detail.kept, 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join, op2_url_filter, op3_language_id, op4_pii, op5_quality_rules, op6_byte_bpe,
         op7_fingerprints, op8_best_fit_packing, op9_quality_classifier, op10_line_dedup,
+        op11_importance_resampling, op12_spelling_variants, op13_suffix_array_dedup,
     )
 }
 
 _UPPER, _LOWER = line_dedup.UPPER, line_dedup.LOWER
 
+# crc32 of the text x, with the byte table of the polynomial in tbl.t.
+_CRC_TABLE = """g(i, k, v) AS (
+    SELECT CAST(i AS UBIGINT), 0, CAST(i AS UBIGINT) FROM range(256) r(i)
+    UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM g WHERE k < 8
+), tbl AS (SELECT list(v ORDER BY i) AS t FROM g WHERE k = 8)"""
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), list_transform(range(length(hex(x)) // 2), lambda i:
+    CAST(16 * (strpos('0123456789ABCDEF', substr(hex(x), 2 * i + 1, 1)) - 1)
+        + strpos('0123456789ABCDEF', substr(hex(x), 2 * i + 2, 1)) - 1 AS UBIGINT))),
+    lambda c, b: xor(c >> 8, t[CAST((xor(c, b) & 255) + 1 AS BIGINT)])), 4294967295)"""
+
 ORACLES = {
+    "op11_importance_resampling": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+a AS (
+    SELECT 's' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 't', NULL, text FROM benchmark
+), w AS (
+    SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS x
+    FROM a
+), b AS (SELECT x, {_CRC} % 10000 AS bucket FROM (SELECT DISTINCT x FROM w), tbl),
+f AS (SELECT side, id, bucket FROM w JOIN b USING (x)),
+c AS (SELECT bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t FROM f GROUP BY bucket),
+n AS (SELECT sum(s) AS big, sum(t) AS small FROM c),
+k AS (
+    SELECT bucket, CAST(floor(1000 * ln(((t + 1) * CAST(big + 10000 AS DOUBLE)) / ((s + 1) * CAST(small + 10000 AS DOUBLE)))) AS BIGINT) AS gain
+    FROM c, n
+), d AS (SELECT id, count(*) AS n_features, sum(gain) AS weight FROM f JOIN k USING (bucket) WHERE side = 's' GROUP BY id),
+h AS (
+    SELECT doc_id, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+        CAST(('0x' || left(sha256('2024:' || doc_id), 8)) AS BIGINT) AS h
+    FROM documents LEFT JOIN d ON d.id = doc_id
+), z AS (
+    SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM h
+), r AS (
+    SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+        (SELECT 10 * count(*) // 100 FROM z WHERE n_features >= 20) AS drawn
+    FROM z
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= drawn THEN place END AS rank FROM r
+""",
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE {_CRC_TABLE},
+o AS (
+    SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{_UPPER}', '{_LOWER}') AS w
+    FROM documents
+), p AS (SELECT w, doc_id || ':' || w AS x, count(*) AS n FROM o WHERE length(w) >= 6 GROUP BY ALL),
+q AS (SELECT w, n, {_CRC} AS h FROM p, tbl),
+u AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM q),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM u WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+m AS (SELECT word, n, unnest(range(length(word))) AS i FROM v),
+k AS (SELECT word, n, left(word, i) || '*' || substr(word, i + 2) AS masked, left(word, i) || substr(word, i + 2) AS less FROM m),
+y AS (
+    SELECT a.word, b.word AS near, b.n FROM k a JOIN k b ON a.masked = b.masked AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM k a JOIN v b ON a.less = b.word
+    UNION SELECT b.word, a.word, a.n FROM k a JOIN v b ON a.less = b.word
+), c AS (SELECT word, count(*) AS n_near FROM y GROUP BY word),
+t AS (SELECT word, near, n, row_number() OVER (PARTITION BY word ORDER BY n DESC, near) AS place FROM y),
+f AS (
+    SELECT v.word, v.n, coalesce(c.n_near, 0) AS n_near, CASE WHEN t.n >= 5 * v.n THEN t.near END AS form,
+        CASE WHEN t.n >= 5 * v.n THEN t.n END AS form_n
+    FROM v LEFT JOIN c ON c.word = v.word LEFT JOIN t ON t.word = v.word AND t.place = 1
+), r(word, root, step) AS (
+    SELECT word, word, 0 FROM f UNION ALL SELECT r.word, f.form, step + 1 FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, e.root, f.n, f.n_near, f.form_n
+FROM f JOIN (SELECT word, arg_max(root, step) AS root FROM r GROUP BY word) e ON e.word = f.word
+""",
+    "op13_suffix_array_dedup": r"""
+WITH b AS (SELECT doc_id, hex(coalesce(text, '')) AS x FROM documents),
+p AS (SELECT doc_id, unnest(range(0, length(x) // 2, 1000)) AS base, x FROM b),
+q AS (SELECT doc_id, base, substr(x, 2 * base + 1, 2 * (1000 + 199)) AS x FROM p),
+w AS (SELECT doc_id, base, x, unnest(range(least(1000, length(x) // 2 - 199))) AS i FROM q WHERE length(x) >= 400),
+s AS (SELECT doc_id, base + i AS start, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM w),
+r AS (SELECT doc_id, start FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, start, CASE WHEN start - 200 > lag(start, 1, -1000000) OVER (PARTITION BY doc_id ORDER BY start) THEN 1 ELSE 0 END AS new FROM r),
+i AS (SELECT doc_id, start, sum(new) OVER (PARTITION BY doc_id ORDER BY start) AS span FROM g),
+m AS (SELECT doc_id, span, min(start) AS low, max(start) + 200 AS high FROM i GROUP BY doc_id, span),
+e AS (SELECT doc_id, low, high, lag(high, 1, 0) OVER (PARTITION BY doc_id ORDER BY low) AS done FROM m),
+k AS (
+    SELECT e.doc_id, sum(high - low) AS n_removed, count(*) AS n_spans, max(high) AS high,
+        string_agg(substr(x, 2 * done + 1, 2 * (low - done)), '' ORDER BY low) AS kept
+    FROM e JOIN b ON b.doc_id = e.doc_id GROUP BY e.doc_id
+)
+SELECT b.doc_id, length(x) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(CASE WHEN k.doc_id IS NULL THEN x ELSE kept || substr(x, 2 * high + 1) END)) AS kept_sha256
+FROM b LEFT JOIN k ON k.doc_id = b.doc_id
+""",
     "op1_ngram_jaccard_join": rf"""
 WITH RECURSIVE w AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS ws
