@@ -70,6 +70,20 @@ def resolved_view_sources(spark, sf_dir):
     return lineage.resolve_objects(sources, fixture(spark, sf_dir, "objects"))
 
 
+# Texts in which a comma list goes on after a derived table, and texts where none does.
+FIXTURES["list_texts"] = """
+  SELECT o_orderkey AS view_id, concat('SELECT * FROM ', CASE o_orderstatus
+    WHEN 'O' THEN '(SELECT a, b FROM DB.T_1) d, DB.T_2 e' WHEN 'F' THEN 'DB.T_3 c, (SELECT a, b FROM DB.T_1) d WHERE c.x IN (1, 2)'
+    ELSE 'DB.T_1 a, DB.T_2 b' END) AS ddl, o_orderstatus
+  FROM orders
+"""
+
+
+@query("SELECT view_id FROM list_texts WHERE o_orderstatus = 'O'")
+def views_with_unread_lists(spark, sf_dir):
+    return lineage.unread_views(fixture(spark, sf_dir, "list_texts"))
+
+
 def _edges(spark, sf_dir):
     sources = lineage.view_sources(fixture(spark, sf_dir, "views"))
     resolved = lineage.resolve_objects(sources, fixture(spark, sf_dir, "objects"))
@@ -147,6 +161,27 @@ def _columns_sql(rows: dict[str, list[tuple[str, str, str]]]) -> str:
     return "\n UNION ALL ".join(parts)
 
 
+# The select items of the views, one row each.
+ITEMS = {
+    "1-URGENT": [("'base.ID'", "'ID'"), ("""'"t3"."Odd"'""", "'ODD'"), ("'UPPER(base.C1)'", "'UP'")],
+    "2-HIGH": [("'*'", "'*'")],
+    "3-MEDIUM": [
+        ("'s.ID'", "'ID'"), ("'EXTRACT(YEAR FROM s.D)'", "'Y'"),
+        (f"concat('(SELECT MAX(m.V) FROM DB.T_', CAST({K3} AS STRING), ' m)')", "'MX'"),
+    ],
+    "4-NOT SPECIFIED": [
+        ("'a.C1'", "'C1'"), ("'CAST(a.C2 AS DECIMAL(10,2))'", "'C2'"),
+        ("'CASE WHEN b.C3 > 0 THEN ''x, y'' ELSE constant_b.C3 END'", "'C3'"),
+        ("'a.C4 + COALESCE(b.C5, 0)'", "'a.C4 + COALESCE(b.C5, 0)'"),
+    ],
+    "5-LOW": [("'1'", "'ONE'"), ("'CURRENT_DATE'", "'D'")],
+}
+FIXTURES["view_items"] = " UNION ALL ".join(
+    f"SELECT view_id, {position} AS position, {expression} AS expression, {target} AS target_column "
+    f"FROM views WHERE o_orderpriority = '{priority}'"
+    for priority, items in ITEMS.items()
+    for position, (expression, target) in enumerate(items, start=1)
+)
 T2, T3 = f"'DB.T_' || {K2}", f"'DB.T_' || {K3}"
 
 
@@ -175,7 +210,7 @@ T2, T3 = f"'DB.T_' || {K2}", f"'DB.T_' || {K3}"
     )
 )
 def view_column_mapping(spark, sf_dir):
-    mapped = lineage.view_columns(fixture(spark, sf_dir, "views"))
+    mapped = lineage.view_columns(fixture(spark, sf_dir, "views"), fixture(spark, sf_dir, "view_items"))
     joined = F.array_join(F.transform("sources", lambda s: F.concat_ws(".", s["table"], s["column"])), ",")
     return mapped.select("view_id", "position", "target_column", "transform_type", joined.alias("sources"))
 
@@ -208,7 +243,7 @@ def view_column_mapping(spark, sf_dir):
     + ") x"
 )
 def statement_column_mapping(spark, sf_dir):
-    mapped = lineage.statement_columns(fixture(spark, sf_dir, "views"))
+    mapped = lineage.statement_columns(fixture(spark, sf_dir, "view_items"))
     return mapped.select(
         "view_id", "position", "target_column", "transform_type",
         F.array_join("source_columns", ",").alias("source_columns"),
@@ -286,6 +321,36 @@ def dataflow_nodes_both(spark, sf_dir):
     return graph.dataflow_nodes(reached, fixture(spark, sf_dir, "part_objects"))
 
 
+# --- lineage after a change ------------------------------------------------------------
+
+# A second catalogue version: some view edges are gone, some lead elsewhere.
+FIXTURES["later_edges"] = f"""
+  SELECT * FROM part_edges WHERE job_id IS NOT NULL OR CAST(to_id AS BIGINT) % 97 <> 5
+  UNION ALL
+  SELECT CAST({P2} + 1 AS STRING), CAST(p_partkey AS STRING), 'VIEW', CAST(NULL AS BIGINT) FROM part WHERE p_partkey % 97 = 5
+"""
+# Every seventieth part, and a few that the first version didn't ask for.
+FIXTURES["lineage_roots"] = "SELECT p_partkey FROM part WHERE p_partkey % 70 = 9"
+FIXTURES["later_roots"] = "SELECT p_partkey FROM part WHERE p_partkey % 70 = 9 AND p_size > 3 OR p_partkey % 700 = 8"
+
+
+def _roots(spark, sf_dir, name: str):
+    return fixture(spark, sf_dir, name).select(F.col("p_partkey").cast("string").alias("root_id"))
+
+
+@query(reach_sql(UP_STEPS, 1000, "lineage_roots") + " SELECT * FROM reached")
+def reachable_from_roots(spark, sf_dir):
+    """Any distance, from a small table of roots."""
+    return graph.reachable(fixture(spark, sf_dir, "part_edges"), _roots(spark, sf_dir, "lineage_roots"))
+
+
+@query(reach_sql("SELECT to_id AS node, from_id AS next FROM later_edges", 1000, "later_roots") + " SELECT * FROM reached")
+def refreshed_reachability(spark, sf_dir):
+    before, after = (fixture(spark, sf_dir, n) for n in ("part_edges", "later_edges"))
+    stored = graph.reachable(before, _roots(spark, sf_dir, "lineage_roots"))
+    return graph.refresh_reachable(stored, before, after, _roots(spark, sf_dir, "later_roots"))
+
+
 # --- load levels -----------------------------------------------------------------------
 
 FIXTURES["parent_edges"] = f"""

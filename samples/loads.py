@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,11 @@ from sedimenta.config import BridgeLookup, KeyLookup, LoadSpec, MasterLookup, Sc
 from sedimenta.functions.text import key_hash, natural_key, record_hash
 from sedimenta.operators import foreign_keys, ingest, merge, scd2, stats, surrogate
 from sedimenta.operators.ingest import ColumnMapping
+from sedimenta.plans.load import LoadCounts, load_delta, load_history, load_with_log, read_runs, read_steps
 from sedimenta.sources.tables import scan_view, select_columns
-from sedimenta.sources.workspace import stash
+from sedimenta.sources.bucketed import BucketedTable
+from sedimenta.sources.versioned import VersionedTable
+from sedimenta.sources.workspace import folder, stash
 
 # A batch with null keys, exact duplicates and one key with two contents.
 FIXTURES["batch"] = """
@@ -334,6 +338,106 @@ def scd2_apply_keys_from_view(spark, sf_dir):
     return portable(scd2.apply(h, batch, spec, CTX).history)
 
 
+# --- loads as they are stored ------------------------------------------------------------
+
+
+def _bucketed(spark, sf_dir, **kw) -> BucketedTable:
+    before = history(spark, sf_dir)
+    target = BucketedTable(folder(spark, "buckets"), before.schema, ["c_custkey"], **kw)
+    target.adopt(before, scd2.open_rows(before, SPEC))
+    return target
+
+
+DELTA = f"""
+  WITH result AS (SELECT * FROM closed_history UNION ALL BY NAME {inserted_sql()})
+  SELECT {CUSTOMER_SQL}, {TECHNICAL_SQL} FROM result
+"""
+
+
+@query(DELTA)
+def scd2_delta_published(spark, sf_dir):
+    """A batch applied twice to a table in buckets: the second run finds the first one through."""
+    target = _bucketed(spark, sf_dir, buckets=16)
+    for _ in range(2):
+        load_delta(spark, fixture(spark, sf_dir, "batch"), target, SPEC, CTX)
+    return portable(target.read(spark))
+
+
+@query(DELTA)
+def scd2_delta_published_by_ranges(spark, sf_dir):
+    target = _bucketed(spark, sf_dir, buckets=20, width=50)
+    load_delta(spark, fixture(spark, sf_dir, "batch"), target, SPEC, CTX)
+    return portable(target.read(spark))
+
+
+COUNTS = f"""
+  (SELECT count(*) FROM batch) AS rows_read, (SELECT count(*) FROM ({inserted_sql()})) AS rows_inserted,
+  (SELECT count(*) FROM history h WHERE IS_CURRENT = 'Y' AND EXISTS (
+     SELECT 1 FROM classified c WHERE c.action = 'CHANGED' AND c.c_custkey = h.c_custkey)) AS rows_updated
+"""
+
+
+@query(f"SELECT {COUNTS}")
+def load_history_counts(spark, sf_dir):
+    """What a load that publishes a whole version reports."""
+    before = history(spark, sf_dir)
+    target = VersionedTable(folder(spark, "history"), before.schema)
+    target.publish(before.withColumn(scd2.CLOSED_NOW, ~scd2.open_rows(before, SPEC)))
+    counts = load_history(spark, fixture(spark, sf_dir, "batch"), target, SPEC, CTX)
+    return spark.createDataFrame(
+        [(counts.rows_read, counts.rows_inserted, counts.rows_updated)], "rows_read long, rows_inserted long, rows_updated long"
+    )
+
+
+def _logged_load(spark, sf_dir) -> str:
+    """Two steps; the first attempt breaks in the second one, the next attempt goes on there."""
+    log, target = folder(spark, "log"), _bucketed(spark, sf_dir, buckets=16)
+    ticks = (datetime.fromisoformat(RUN_TS) + timedelta(seconds=s) for s in range(60))
+    attempts = []
+
+    def load() -> LoadCounts:
+        return load_delta(spark, fixture(spark, sf_dir, "batch"), target, SPEC, CTX)
+
+    def count() -> LoadCounts:
+        attempts.append(1)
+        if len(attempts) == 1:
+            raise RuntimeError("interrupted")
+        return LoadCounts(rows_read=target.read(spark).count())
+
+    for _ in range(3):
+        try:
+            load_with_log(spark, log, CTX.run_id, 10, [(100, load), (101, count)], now=lambda: next(ticks))
+        except RuntimeError:
+            pass
+    return log
+
+
+STEP_TIMES = "'2024-02-01 00:00:{}.000000'"
+
+
+@query(f"""
+  SELECT 7 AS run_id, 100 AS step_id, 7 * 1048576 + 1 AS step_run_id, 'SUCCESS' AS status, {STEP_TIMES.format('01')} AS start_time,
+         {STEP_TIMES.format('02')} AS end_time, CAST(1 AS DECIMAL(18,6)) AS duration_seconds, {COUNTS}
+  UNION ALL
+  SELECT 7, 101, 7 * 1048576 + 2, 'SUCCESS', {STEP_TIMES.format('07')}, {STEP_TIMES.format('08')}, 1,
+         (SELECT count(*) FROM closed_history) + (SELECT count(*) FROM ({inserted_sql()})), 0, 0
+""")
+def load_with_log_steps(spark, sf_dir):
+    steps = read_steps(spark, _logged_load(spark, sf_dir))
+    names = ["run_id", "step_id", "step_run_id", "status", "start_time", "end_time", "duration_seconds"]
+    return portable(steps.select(*names, "rows_read", "rows_inserted", "rows_updated"))
+
+
+@query(f"""
+  SELECT 7 AS run_id, 10 AS job_id, 'SUCCESS' AS status, {STEP_TIMES.format('06')} AS start_time, {STEP_TIMES.format('09')} AS end_time,
+         CAST(3 AS DECIMAL(18,6)) AS duration_seconds, 'DELTA' AS execution_mode
+""")
+def load_with_log_run(spark, sf_dir):
+    runs = read_runs(spark, _logged_load(spark, sf_dir))
+    names = ["run_id", "job_id", "status", "start_time", "end_time", "duration_seconds", "execution_mode"]
+    return portable(runs.select(*names))
+
+
 @query("""
   SELECT c_custkey, count(*) AS row_count FROM batch GROUP BY c_custkey HAVING count(*) > 1
 """)
@@ -650,6 +754,31 @@ def ingest_counts(spark, sf_dir):
     return ingest.load_counts(_typed(spark, sf_dir))
 
 
+def _ingested(spark, sf_dir) -> str:
+    """A load stored twice: the second time replaces the first."""
+    target = folder(spark, "raw")
+    for _ in range(2):
+        ingest.ingest(fixture(spark, sf_dir, "order_extract"), MAPPING, target, CTX, audit=True)
+    return target
+
+
+@query(f"""
+  SELECT ORDER_ID, CUSTOMER_ID, PRICE, {ts_sql('ORDERED_AT')}, PRIO, CAST(7 AS BIGINT) AS ETL_LOAD_ID,
+         '{RUN_TS}.000000' AS ETL_LOAD_TIMESTAMP, 7 AS load_id
+  FROM typed_extract WHERE failed = ''
+""")
+def ingest_written(spark, sf_dir):
+    return portable(ingest.loaded_rows(spark, _ingested(spark, sf_dir)))
+
+
+@query("""
+  SELECT failed AS failed_columns, CAST(ORDER_ID AS VARCHAR) AS order_no, 7 AS load_id FROM typed_extract WHERE failed <> ''
+""")
+def ingest_rejects_written(spark, sf_dir):
+    bad = ingest.rejected_rows(spark, _ingested(spark, sf_dir))
+    return bad.select("failed_columns", F.get_json_object("source_row", "$.order_no").alias("order_no"), "load_id")
+
+
 @query("SELECT o_orderkey, o_orderstatus FROM orders")
 def staged_rows(spark, sf_dir):
     return stash(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"))

@@ -9,6 +9,9 @@ from sedimenta.functions.names import core_name
 from sedimenta.functions.types import dictionary_type, type_name
 from sedimenta.operators import catalog, runlog
 
+# Name beginnings that are cut off, tried in this order.
+CORE_PREFIXES = ["TAAA_", "TAAS_", "TAA_", "zas_", "ZAS_"]
+
 FIXTURES["jobs"] = """
   SELECT c_custkey AS job_id, concat('LOAD_', c_mktsegment, '_', CAST(c_custkey AS STRING)) AS job_name,
          CASE WHEN c_mktsegment = 'BUILDING' THEN 'TPT_LOAD' ELSE 'SQL' END AS job_type,
@@ -156,6 +159,19 @@ def run_history_page(spark, sf_dir):
     return page.select("run_id", "job_id", ts_text("start_time"), "status")
 
 
+@query(f"""
+  SELECT run_id, job_id, {ts_sql('start_time')}, status FROM job_run WHERE status = 'FAILED'
+  ORDER BY job_run.start_time DESC, run_id DESC LIMIT 40 OFFSET 40
+""")
+def run_history_next_page(spark, sf_dir):
+    """The second page of forty, from the last row of the first."""
+    runs = fixture(spark, sf_dir, "job_run")
+    last = runlog.run_history(runs, status="FAILED", limit=40).orderBy("start_time", "run_id")
+    row = last.select("run_id", ts_text("start_time")).first()
+    page = runlog.run_history_after(runs, row["start_time"], row["run_id"], status="FAILED", limit=40)
+    return page.select("run_id", "job_id", ts_text("start_time"), "status")
+
+
 @query(f"SELECT run_id, {ts_sql('start_time')} FROM job_run ORDER BY job_run.start_time DESC, run_id DESC LIMIT 10")
 def recent_runs(spark, sf_dir):
     return runlog.recent_runs(fixture(spark, sf_dir, "job_run")).select("run_id", ts_text("start_time"))
@@ -232,6 +248,28 @@ def table_import_status(spark, sf_dir):
     return portable(runlog.import_status(jobs, runs, WANTED))
 
 
+# A name per customer, some with wildcards and some of two letters only.
+FIXTURES["wanted_names"] = """
+  SELECT concat(LEFT(c_mktsegment, 3), '%', '_', CAST(c_custkey AS STRING)) AS source_table FROM customer
+  UNION SELECT concat('_', CAST(c_custkey AS STRING)) FROM customer
+  UNION SELECT LEFT(c_mktsegment, 2) FROM customer
+"""
+
+
+@query(f"""
+  WITH hit AS (SELECT source_table, min(job_id) AS job_id FROM wanted_names JOIN jobs
+          ON job_name LIKE '%' || source_table || '%' AND job_type = 'TPT_LOAD' GROUP BY source_table),
+  ended AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY job_id ORDER BY end_time DESC NULLS LAST, run_id DESC) AS rn
+            FROM job_run)
+  SELECT w.source_table, h.job_id IS NOT NULL AS has_job, h.job_id, e.status AS last_load_status,
+         {ts_sql('e.end_time', 'last_load_time')}
+  FROM wanted_names w LEFT JOIN hit h ON w.source_table = h.source_table LEFT JOIN ended e ON e.job_id = h.job_id AND rn = 1
+""")
+def table_import_status_of_many(spark, sf_dir):
+    jobs, runs, names = (fixture(spark, sf_dir, n) for n in ("jobs", "job_run", "wanted_names"))
+    return portable(runlog.import_status(jobs, runs, names))
+
+
 # --- catalogue -------------------------------------------------------------------------
 
 FIXTURES["registered"] = """
@@ -417,6 +455,22 @@ def table_search_by_comment(spark, sf_dir):
     return found.select("table_id", "comment_string")
 
 
+FIXTURES["searches"] = """
+  SELECT lower(p_type) AS search FROM part UNION SELECT p_brand FROM part UNION SELECT lower(RIGHT(p_name, 4)) FROM part
+"""
+
+
+@query("""
+  SELECT s.search, t.table_id, t.table_name, d.database_name
+  FROM searches s JOIN tables t ON upper(t.table_name) LIKE '%' || upper(s.search) || '%'
+    OR upper(t.comment_string) LIKE '%' || upper(s.search) || '%'
+  JOIN dbs d ON t.database_id = d.database_id
+""")
+def table_search_of_many(spark, sf_dir):
+    tables, dbs, searches = (fixture(spark, sf_dir, n) for n in ("tables", "dbs", "searches"))
+    return catalog.search_many(tables, dbs, searches).select("search", "table_id", "table_name", "database_name")
+
+
 FIXTURES["named_tables"] = """
   SELECT p_partkey, concat(CASE p_type WHEN 'PROMO' THEN 'TAAA_' WHEN 'SMALL' THEN 'zas_' WHEN 'LARGE' THEN 'taas_'
          WHEN 'ECONOMY' THEN 'ABCDE_' WHEN 'STANDARD' THEN 'X1_' ELSE '' END, upper(replace(p_name, ' ', '_'))) AS table_name
@@ -434,7 +488,7 @@ FIXTURES["named_tables"] = """
 """)
 def core_names(spark, sf_dir):
     t = fixture(spark, sf_dir, "named_tables")
-    return t.withColumn("core_name", core_name(F.col("table_name")))
+    return t.withColumn("core_name", core_name(F.col("table_name"), CORE_PREFIXES))
 
 
 # One type code per part brand; sizes, precisions and scales from other columns.

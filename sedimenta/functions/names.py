@@ -7,13 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Name beginnings that are cut off, tried in this order.
-CORE_PREFIXES = ["TAAA_", "TAAS_", "TAA_", "zas_", "ZAS_"]
 SHORT_TOKEN = 4
 
 
-def core_name(table_name: Column, prefixes: Sequence[str] = CORE_PREFIXES) -> Column:
-    """Core of a table name: a configured prefix is cut, else a first token of at most 4 letters."""
+def core_name(table_name: Column, prefixes: Sequence[str] = ()) -> Column:
+    """Core of a table name: the first of some prefixes is cut, else a first token of at most 4 letters."""
     cut = F.when(table_name.isNull(), F.lit(""))
     for prefix in prefixes:
         cut = cut.when(

@@ -112,20 +112,23 @@ def type_name(code: Column, length: Column, precision: Column, scale: Column) ->
     return F.coalesce(_pick(upper, PLAIN_CODES), sized, decimal, repaired, passed, F.lit(DEFAULT_TYPE + UNICODE))
 
 
+# Type names of the short display form.
+SHORT_NAMES = {
+    "I": "INTEGER", "I1": "BYTEINT", "I2": "SMALLINT", "I8": "BIGINT", "F": "FLOAT",
+    "D": "DECIMAL", "N": "NUMBER", "CV": "VARCHAR", "CF": "CHAR", "CO": "CLOB", "BO": "BLOB",
+    "BF": "BYTE", "BV": "VARBYTE", "DA": "DATE", "TS": "TIMESTAMP", "AT": "TIME",
+    "TZ": "TIME WITH TIME ZONE", "SZ": "TIMESTAMP WITH TIME ZONE", "UT": "UDT",
+}
+
+
 def dictionary_type(code: Column, length: Column, precision: Column, scale: Column) -> Column:
     """Short display form of a dictionary type code, the second of the two forms in use.
 
     Unknown codes show themselves; sizes appear only where they are stored.
     """
     key = F.trim(F.coalesce(code, F.lit("")))
-    names = {
-        "I": "INTEGER", "I1": "BYTEINT", "I2": "SMALLINT", "I8": "BIGINT", "F": "FLOAT",
-        "D": "DECIMAL", "N": "NUMBER", "CV": "VARCHAR", "CF": "CHAR", "CO": "CLOB", "BO": "BLOB",
-        "BF": "BYTE", "BV": "VARBYTE", "DA": "DATE", "TS": "TIMESTAMP", "AT": "TIME",
-        "TZ": "TIME WITH TIME ZONE", "SZ": "TIMESTAMP WITH TIME ZONE", "UT": "UDT",
-    }
-    names.update({k: v for k, v in PLAIN_CODES.items() if v.startswith("INTERVAL")})
-    name = F.coalesce(_pick(key, names), key)
+    intervals = {k: v for k, v in PLAIN_CODES.items() if v.startswith("INTERVAL")}
+    name = F.coalesce(_pick(key, SHORT_NAMES | intervals), key)
 
     def sized(*numbers: Column) -> Column:
         inner = F.concat_ws(",", *[n.cast("int").cast("string") for n in numbers])

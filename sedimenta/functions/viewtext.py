@@ -2,8 +2,8 @@
 
 Each text is handled within its row by patterns and array functions. Stated limits: table
 names after a derived table in a comma list are missed (``may_miss_sources`` reports such
-texts), so is a FROM inside a function call whose first argument itself contains a call, and
-only a SELECT outside all parentheses yields a column list.
+texts), so is a FROM inside a function call whose first argument itself contains a call.
+Select lists aren't taken apart: column mappings start from rows of select items.
 """
 
 from __future__ import annotations
@@ -22,13 +22,13 @@ _ALIAS = rf"(?:\s+(?:AS\s+)?(?!(?:{_CLAUSES})\b){_ID})?"
 _ITEM = rf"{_NAME}{_ALIAS}"
 _QUERY = r"(?:SELECT|SEL|WITH|VALUES)\b"
 _TABLES = rf"(?i)\b(?:FROM|JOIN)\b[\s(]+(?!{_QUERY})({_ITEM}(?:\s*,\s*{_ITEM})*)"
-# A derived table, and somewhere after it a closing parenthesis with an alias and a comma.
-_LIST_AFTER_QUERY = rf"(?is)(?:\bFROM|\bJOIN|,)\s*\(+\s*{_QUERY}.*\)\s*(?:AS\s+)?(?!(?:{_CLAUSES})\b){_ID}\s*(?:\([^()]*\)\s*)?,"
+# A derived table, and somewhere after the first one a closing parenthesis with an alias and a comma.
+_DERIVED = rf"(?i)(?:\bFROM|\bJOIN|,)\s*+\(++\s*+{_QUERY}"
+_LIST_GOES_ON = rf"(?i)\)\s*+(?:AS\s++)?(?!(?:{_CLAUSES})\b){_ID}\s*+(?:\([^()]*+\)\s*+)?,"
 _CTE = rf"(?i)(?:\bWITH\s+(?:RECURSIVE\s+)?|,\s*)({_ID})\s*(?:\([^()]*\))?\s*AS\s*\("
 _COMMENTS = r"""(?s)('[^']*+(?:''[^']*+)*+'|"[^"]*+")|--[^\n]*+|/\*.*?\*/"""
 _LITERAL = r"'[^']*+(?:''[^']*+)*+'"
 _FROM_IN_CALL = r"(?i)\b(EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*\([^()]*?\bFROM\b"
-_TOKENS = rf"""(?s)--[^\n]*+|/\*.*?\*/|{_LITERAL}|"[^"]*+"|[\w#$]++|\s++|."""
 _CALL_TYPE = r"(?i)\bAS\s+[A-Za-z]\w*(?:\s*\([\d\s,]*\))?"
 # Words in an expression that are not column names.
 _WORDS = [
@@ -82,7 +82,10 @@ def may_miss_sources(ddl: Column) -> Column:
 
     Errs on the side of reporting: a scalar subquery with an alias in a select list counts too.
     """
-    return F.coalesce(_code(ddl).rlike(_LIST_AFTER_QUERY), F.lit(False))
+    code = _code(ddl)
+    first = F.regexp_instr(code, F.lit(_DERIVED))
+    rest = F.substring(code, first, F.length(code))
+    return F.coalesce((first > 0) & rest.rlike(_LIST_GOES_ON), F.lit(False))
 
 
 def cte_names(ddl: Column) -> Column:
@@ -104,70 +107,6 @@ def source_objects(ddl: Column, self_db: Column, self_name: Column) -> Column:
     return F.array_distinct(F.filter(upper, is_source))
 
 
-def select_items(ddl: Column) -> Column:
-    """Items of the outermost select list, as texts.
-
-    The tokens are folded once; ``phase`` is 0 before the list, 1 within it, 2 after it.
-    """
-    tokens = F.regexp_extract_all(ddl, F.lit(_TOKENS), 0)
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("phase"),
-        F.lit("").alias("item"),
-        F.array().cast("array<string>").alias("items"),
-    )
-
-    def step(s: Column, t: Column) -> Column:
-        word = F.upper(t)
-        depth = s["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)
-        top = s["depth"] == 0
-        begins = (s["phase"] == 0) & top & (word == "SELECT")
-        ends = (s["phase"] == 1) & top & word.isin("FROM", "UNION", "INTERSECT", "EXCEPT", "MINUS", ";")
-        comma = (s["phase"] == 1) & top & (depth == 0) & (t == ",")
-        done = F.array_append(s["items"], s["item"])
-        return F.struct(
-            depth.alias("depth"),
-            F.when(begins, 1).when(ends, 2).otherwise(s["phase"]).alias("phase"),
-            F.when(begins | ends | comma, "")
-            .when(s["phase"] == 1, F.concat(s["item"], F.when(t.rlike(r"^(--|/\*)"), " ").otherwise(t)))
-            .otherwise(s["item"])
-            .alias("item"),
-            F.when(ends | comma, done).otherwise(s["items"]).alias("items"),
-        )
-
-    def finish(s: Column) -> Column:
-        open_end = F.when(s["phase"] == 1, F.array_append(s["items"], s["item"])).otherwise(s["items"])
-        return F.transform(open_end, lambda i: F.trim(F.regexp_replace(i, r"\s+", " ")))
-
-    items = F.aggregate(tokens, start, step, finish)
-    head = r"(?i)^(?:DISTINCT|ALL)\s+|^TOP\s+\d+\s+"
-    return F.transform(items, lambda i, n: F.when(n == 0, F.regexp_replace(i, head, "")).otherwise(i))
-
-
-def split_alias(item: Column) -> tuple[Column, Column]:
-    """(expression, target name) of a select item."""
-    column = rf"^(?:{_ID}\s*\.\s*)*({_ID}|\*)$"
-    tail = rf'(?is)^(.*[\s)"])\s*({_ID})$'
-    with_as = rf"(?is)^(.*\S)\s+AS\s+({_ID})$"
-    is_column = item.rlike(column)
-    has_as = item.rlike(with_as)
-    # A trailing word is an alias unless the expression ends in a keyword such as END.
-    has_tail = item.rlike(tail) & ~F.upper(F.regexp_extract(item, tail, 2)).isin(_WORDS)
-    expression = (
-        F.when(is_column, item)
-        .when(has_as, F.regexp_extract(item, with_as, 1))
-        .when(has_tail, F.regexp_extract(item, tail, 1))
-        .otherwise(item)
-    )
-    target = (
-        F.when(is_column, F.regexp_extract(item, column, 1))
-        .when(has_as, F.regexp_extract(item, with_as, 2))
-        .when(has_tail, F.regexp_extract(item, tail, 2))
-        .otherwise(item)
-    )
-    return F.trim(expression), F.regexp_replace(target, '"', "")
-
-
 def is_column(expression: Column) -> Column:
     """Whether an expression is nothing but a column reference."""
     name = rf"^{_ID}(?:\s*\.\s*(?:{_ID}|\*))*$"

@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.types import DEFAULT_TYPE, MAX_LENGTH
-from sedimenta.operators.keyed_join import find_hot_keys, join_unique
+from sedimenta.operators.keyed_join import one_per_key
+from sedimenta.operators.substring import matching_pairs
 from sedimenta.operators.surrogate import number_distinct
+from sedimenta.sources.workspace import stash
 
 DELETED_MARK = " [DELETED]"
 # Compared properties and the word used for each in a message.
@@ -83,6 +85,20 @@ def search_tables(
     return tables.join(named, "database_id")
 
 
+def search_many(tables: DataFrame, databases: DataFrame, searches: DataFrame) -> DataFrame:
+    """As :func:`search_tables` for every text of ``searches`` (column ``search``) at once.
+
+    Rows are those of the tables with ``database_name`` and the ``search`` they match.
+    """
+    both = F.explode(F.array(F.upper("table_name"), F.upper("comment_string"))).alias("text")
+    texts = tables.select(F.col("table_id").alias("id"), both)
+    wanted = searches.select("search", F.upper("search").alias("pattern")).distinct()
+    pairs = matching_pairs(texts, wanted).distinct()
+    found = wanted.join(pairs, "pattern").select("search", F.col("id").alias("table_id"))
+    named = databases.select("database_id", "database_name")
+    return tables.join(found, "table_id").join(named, "database_id")
+
+
 def candidates(dictionary: DataFrame, tables: DataFrame, databases: DataFrame) -> DataFrame:
     """Tables and views of the database dictionary, flagged by whether they are registered."""
     known = (
@@ -118,13 +134,9 @@ def map_source_types(columns: DataFrame, rules: DataFrame) -> DataFrame:
         "rule_id", "target_datatype", "multiplier", "target_max_length",
         "target_precision", "target_scale", "type_format", "convert_template",
     ]
-    first = (
-        rules.filter(F.col("is_active") == "Y")
-        .groupBy(F.lower("source_datatype").alias("_type"))
-        .agg(F.min(F.struct(*fields)).alias("_rule"))
-    )
-    keyed = columns.withColumn("_type", F.lower("source_datatype"))
-    joined = join_unique(keyed, first, ["_type"], find_hot_keys(keyed, ["_type"]))
+    active = rules.filter(F.col("is_active") == "Y").withColumn("_type", F.lower("source_datatype"))
+    first = one_per_key(active, ["_type"], F.min(F.struct(*fields)).alias("_rule"))
+    joined = columns.withColumn("_type", F.lower("source_datatype")).join(first, "_type", "left")
 
     rule = {name: F.col(f"_rule.{name}") for name in fields}
 
@@ -177,10 +189,47 @@ def _side(columns: DataFrame, side: str) -> DataFrame:
     )
 
 
-def _paired(registered: DataFrame, actual: DataFrame) -> DataFrame:
+def table_digests(columns: DataFrame, facets: Sequence[str]) -> DataFrame:
+    """One row per table with a digest of its columns that doesn't depend on their order.
+
+    The digest holds the number of columns, and sum and exclusive or of two hashes over their
+    names and properties; ``names`` counts different names. Aggregated on the map side.
+    """
+    side = _side(columns, "c")
+    values = [F.col(f"c.{f}").cast("string") for f in facets]
+    parts = [F.col("_name").isNull(), F.col("_name"), *[x for v in values for x in (v.isNull(), v)]]
+    first, second = F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+    return side.groupBy("table_id").agg(
+        F.struct(
+            F.count("*"), F.sum(first.bitwiseAND(0xFFFFFFFF)), F.sum(second.bitwiseAND(0xFFFFFFFF)),
+            F.bit_xor(first), F.bit_xor(second),
+        ).alias("digest"),
+        F.size(F.collect_set(F.when(F.col("_name").isNotNull(), F.xxhash64("_name")))).alias("names"),
+        F.count("*").alias("columns"),
+    )
+
+
+def _equal_tables(registered: DataFrame, actual: DataFrame, facets: Sequence[str]) -> DataFrame:
+    """``table_id`` of tables that are the same on both sides, each column once."""
+    left = table_digests(registered, facets).where(F.col("names") == F.col("columns"))
+    right = table_digests(actual, facets).select("table_id", F.col("digest").alias("_digest"))
+    return left.join(right, "table_id").where(F.col("digest") == F.col("_digest")).select("table_id")
+
+
+def _paired(registered: DataFrame, actual: DataFrame, facets: Sequence[str]) -> DataFrame:
+    """Columns of both sides by table and name, ``r`` and ``a``.
+
+    Two levels: tables with equal digests pair with themselves; only the columns of the others
+    (and of tables with a missing id, which equals nothing) are shuffled and joined.
+    """
     if "column_id" not in actual.columns:
         actual = actual.withColumn("column_id", F.lit(None).cast("long"))
-    return _side(registered, "r").join(_side(actual, "a"), ["table_id", "_name"], "full_outer")
+    equal = stash(_equal_tables(registered, actual, facets), "equal-tables")
+    r, a = _side(registered, "r"), _side(actual, "a")
+    differing = [side.join(equal, "table_id", "left_anti") for side in (r, a)]
+    met = differing[0].join(differing[1], ["table_id", "_name"], "full_outer")
+    same = r.join(equal, "table_id", "left_semi").withColumn("a", F.col("r").cast(a.schema["a"].dataType))
+    return met.unionByName(same)
 
 
 def _differs(facet: str) -> Column:
@@ -214,7 +263,7 @@ def compare_catalogs(
         for f in facets
     ]
     both = F.col("r").isNotNull() & F.col("a").isNotNull()
-    return _paired(registered, actual).select(
+    return _paired(registered, actual, facets).select(
         "table_id",
         F.coalesce("r.column_name", "a.column_name").alias("column_name"),
         _status(facets).alias("status"),
@@ -260,7 +309,7 @@ def sync_catalog(registered: DataFrame, actual: DataFrame, mode: SyncMode = SOFT
     gone. New columns get ids after the largest one, in order of table, position and name.
     """
     top = registered.agg(F.coalesce(F.max("column_id"), F.lit(0))).first()[0]
-    paired = _paired(registered, actual).withColumn("_status", _status(mode.facets))
+    paired = _paired(registered, actual, mode.facets).withColumn("_status", _status(mode.facets))
     status = F.col("_status")
 
     def value(name: str) -> Column:

@@ -1,9 +1,8 @@
 """Surrogate-key lookups: own key, foreign keys through key, master and bridge tables.
 
-Each lookup is a left join whose right side has one row per key. Key tables lie directly
-behind the join's shuffle, so adaptive execution can broadcast a small side by its measured
-size and split a hot or null key of the left side; master tables and bridges are aggregates
-on the join key, so there the join salts hot keys itself.
+Each lookup is a left join whose right side has one row per key and lies directly behind the
+join's shuffle, so adaptive execution can broadcast a small side by its measured size and
+split a hot or null key of the left side.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import UNKNOWN_SK, BridgeLookup, ForeignKey, KeyLookup, MasterLookup
 from sedimenta.functions.text import natural_key
-from sedimenta.operators.keyed_join import find_hot_keys, join_unique
+from sedimenta.operators.keyed_join import one_per_key
 
 
 def _domain_keys(key_table: DataFrame, domain: str) -> DataFrame:
@@ -32,16 +31,6 @@ def _lookup(df: DataFrame, key: Column, pairs: DataFrame, sk_column: str) -> Dat
     return joined.withColumn(sk_column, found).drop("_key", "_nk", "_sk")
 
 
-def _lookup_aggregated(
-    df: DataFrame, key: Column, pairs: DataFrame, sk_column: str
-) -> DataFrame:
-    keyed = df.withColumn("_key", key)
-    pairs = pairs.withColumnRenamed("_nk", "_key")
-    joined = join_unique(keyed, pairs, ["_key"], find_hot_keys(keyed, ["_key"]))
-    found = F.coalesce(F.col("_sk"), F.lit(UNKNOWN_SK)).cast("long")
-    return joined.select(*df.columns, found.alias(sk_column))
-
-
 def lookup_surrogate_key(
     df: DataFrame, columns: Sequence[str], key_table: DataFrame, domain: str, sk_column: str,
     cut: bool = False,
@@ -56,12 +45,8 @@ def master_pairs(fk: MasterLookup, cut: bool = False) -> DataFrame:
     if fk.current_only is not None:
         parent = parent.filter(F.col(fk.current_only.current_flag) == fk.current_only.current_value)
     known = F.min(F.when(F.col("_sk") != UNKNOWN_SK, F.col("_sk")))
-    return (
-        parent.select(natural_key(parent, [fk.parent_bk], cut=cut).alias("_nk"), F.col(fk.parent_sk).alias("_sk"))
-        .where(F.col("_nk").isNotNull())
-        .groupBy("_nk")
-        .agg(F.coalesce(known, F.lit(UNKNOWN_SK)).alias("_sk"))
-    )
+    pairs = parent.select(natural_key(parent, [fk.parent_bk], cut=cut).alias("_nk"), F.col(fk.parent_sk).alias("_sk"))
+    return one_per_key(pairs.where(F.col("_nk").isNotNull()), ["_nk"], F.coalesce(known, F.lit(UNKNOWN_SK)).alias("_sk"))
 
 
 def bridge_pairs(fk: BridgeLookup, cut: bool = False) -> DataFrame:
@@ -70,11 +55,8 @@ def bridge_pairs(fk: BridgeLookup, cut: bool = False) -> DataFrame:
         F.col(fk.bridge_key).alias("_bridge"), natural_key(fk.bridge, fk.bridge_natural_key, cut=cut).alias("_bk")
     )
     keys = _domain_keys(fk.key_table, fk.domain)
-    return (
-        bridge.join(keys, bridge["_bk"] == keys["_nk"])
-        .groupBy(F.col("_bridge").alias("_nk"))
-        .agg(F.min("_sk").alias("_sk"))
-    )
+    met = bridge.join(keys, bridge["_bk"] == keys["_nk"]).select(F.col("_bridge").alias("_nk"), "_sk")
+    return one_per_key(met, ["_nk"], F.min("_sk").alias("_sk"))
 
 
 def resolve_foreign_keys(
@@ -85,7 +67,7 @@ def resolve_foreign_keys(
         if isinstance(fk, KeyLookup):
             df = lookup_surrogate_key(df, fk.columns, fk.key_table, fk.domain, fk.sk_column, cut)
         elif isinstance(fk, MasterLookup):
-            df = _lookup_aggregated(df, natural_key(df, [fk.column], cut=cut), master_pairs(fk, cut), fk.sk_column)
+            df = _lookup(df, natural_key(df, [fk.column], cut=cut), master_pairs(fk, cut), fk.sk_column)
         else:
-            df = _lookup_aggregated(df, F.col(fk.column), bridge_pairs(fk, cut), fk.sk_column)
+            df = _lookup(df, F.col(fk.column), bridge_pairs(fk, cut), fk.sk_column)
     return df

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.operators.keyed_join import matching_keys
+from sedimenta.operators.keyed_join import only_keys_of
 from sedimenta.operators.lineage import EXTERNAL
 from sedimenta.operators.surrogate import number_distinct
 from sedimenta.sources.workspace import folder, stash, write_counted
@@ -41,27 +41,58 @@ def reachable(
 
     ``roots`` has one column ``root_id``. Cycles end by themselves because a node is visited
     once per root. External objects are reached but not followed.
+
+    A round goes two steps from the nodes found last. Of what was reached before, only rows
+    that may equal a node of this round are shuffled (:func:`only_keys_of`), so a round's
+    shuffle grows with its own nodes and not with all that were reached.
     """
     spark = edges.sparkSession
     steps = stash(_neighbours(edges, direction).distinct(), "steps")
     base = folder(spark, "reached")
-    levels = spark.read.schema("root_id string, node_id string, distance int")
-    start = roots.select("root_id", F.col("root_id").alias("node_id")).distinct()
-    found = write_counted(start, f"{base}/distance=0")
-    distance = 0
+    pair = ["root_id", "node_id"]
+    rounds = spark.read.schema("root_id string, node_id string, distance int")
+    start = roots.select("root_id", F.col("root_id").alias("node_id"), F.lit(0).alias("distance")).distinct()
+    found = write_counted(start, f"{base}/round=0")
+    distance, number = 0, 0
+
+    def onwards(nodes: DataFrame) -> DataFrame:
+        inner = nodes.filter(~F.startswith(F.col("node_id"), F.lit(EXTERNAL)))
+        return inner.join(steps, "node_id").select("root_id", F.col("next_id").alias("node_id"))
+
     while found and (depth is None or distance < depth):
-        distance += 1
-        reached = levels.parquet(base)
-        following = (
-            reached.filter(F.col("distance") == distance - 1)
-            .filter(~F.startswith(F.col("node_id"), F.lit(EXTERNAL)))
-            .join(steps, "node_id")
-            .select("root_id", F.col("next_id").alias("node_id"))
-            .distinct()
-            .join(reached.select("root_id", "node_id"), ["root_id", "node_id"], "left_anti")
-        )
-        found = write_counted(following, f"{base}/distance={distance}")
-    return levels.parquet(base)
+        reached = rounds.parquet(base)
+        one = onwards(rounds.parquet(f"{base}/round={number}").filter(F.col("distance") == distance)).distinct()
+        parts = [one.withColumn("distance", F.lit(distance + 1))]
+        if depth is None or distance + 2 <= depth:
+            parts.append(onwards(one).withColumn("distance", F.lit(distance + 2)))
+        distance, number = distance + len(parts), number + 1
+        near = stash(_union(parts).groupBy(*pair).agg(F.min("distance").alias("distance")), "near")
+        fresh = near.join(only_keys_of(reached.select(*pair), pair, near), pair, "left_anti")
+        found = write_counted(fresh, f"{base}/round={number}", F.col("distance") == distance)
+    return rounds.parquet(base).select(*pair, "distance")
+
+
+def refresh_reachable(
+    stored: DataFrame, before: DataFrame, after: DataFrame, roots: DataFrame, direction: str = "upstream"
+) -> DataFrame:
+    """Reachability over changed edges, from that over the edges before, at any distance.
+
+    ``stored`` is the result of :func:`reachable` for the edges ``before``. A root's nodes can
+    differ only if it had reached a node that gained or lost a step (or is new), so the rows of
+    such roots are dropped and derived again over ``after``; those of all other roots are kept.
+    Roots that ``roots`` lacks go.
+    """
+    old, new = (_neighbours(e, direction).distinct() for e in (before, after))
+    step = ["node_id", "next_id"]
+    touched = old.join(new, step, "left_anti").unionByName(new.join(old, step, "left_anti"))
+    touched = stash(touched.select("node_id").distinct(), "touched")
+    wanted = roots.select("root_id").distinct()
+    hit = stored.join(touched, "node_id", "left_semi").select("root_id")
+    gone = stash(hit.join(wanted, "root_id", "left_semi").distinct(), "affected-roots")
+    unseen = wanted.join(stored.select("root_id"), "root_id", "left_anti")
+    kept = stored.join(wanted, "root_id", "left_semi").join(gone, "root_id", "left_anti")
+    again = reachable(after, gone.unionByName(unseen), None, direction)
+    return kept.select("root_id", "node_id", "distance").unionByName(again)
 
 
 def dataflow_edges(
@@ -114,7 +145,7 @@ def load_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     size = write_counted(inside, f"{base}/level={level}")
     while size:
         left = one_round.parquet(f"{base}/level={level}")
-        parents = matching_keys(left, ["child_id"], ["parent_id"]).withColumnRenamed("child_id", "parent_id")
+        parents = left.select(F.col("child_id").alias("parent_id"))
         level += 1
         rest = write_counted(left.join(parents, "parent_id", "left_semi"), f"{base}/level={level}")
         if rest == size:

@@ -1,4 +1,8 @@
-"""Bulk load into the raw layer: map, cast, split off rejected rows."""
+"""Bulk load into the raw layer: map, cast, split off rejected rows.
+
+A load target is a folder with one folder per load, and in it one per outcome: the same write
+stores loaded and rejected rows, and a repeated load replaces its own.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +10,16 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedimenta.config import RunContext
 from sedimenta.functions.text import timestamp
 from sedimenta.functions.types import spark_type
-from sedimenta.sources.workspace import stash
 
 ERRORS = "_errors"
+LOADED, REJECTED = "loaded", "rejected"
 _SAFE_TEMPLATE = re.compile(r"[\w\s(),.'{}\[\]+*/-]*")
 
 
@@ -106,19 +110,43 @@ def with_load_audit(rows: DataFrame, ctx: RunContext) -> DataFrame:
 def ingest(
     source: DataFrame,
     mappings: Sequence[ColumnMapping],
-    target_path: str,
-    reject_path: str,
+    target: str,
     ctx: RunContext,
     audit: bool = False,
 ) -> dict[str, int]:
-    """Append the good rows to the target and the bad ones to the error table.
+    """Store the good and the bad rows of a load below ``target`` and count them, in one job.
 
-    The source is read and cast once; both appends and the counts use that result.
+    The folder belongs to the load id: the same load again replaces its rows and adds none,
+    and a load that died halfway is simply repeated.
     """
-    rows = stash(typed(source, mappings), "load")
-    good = accepted(rows)
-    (with_load_audit(good, ctx) if audit else good).write.mode("append").parquet(target_path)
-    counts = load_counts(rows).first().asDict()
-    if counts["rows_rejected"]:
-        rejected(rows).write.mode("append").parquet(reject_path)
-    return counts
+    if ctx.run_id is None:
+        raise ValueError("a load needs a run id, by which it can be repeated")
+    rows = typed(source, mappings)
+    if audit:
+        rows = with_load_audit(rows, ctx)
+    bad = F.size(ERRORS) > 0
+    seen = Observation()
+    counted = rows.observe(
+        seen, F.count("*").alias("rows_read"), F.count_if(~bad).alias("rows_loaded"), F.count_if(bad).alias("rows_rejected")
+    )
+    values = [F.when(~bad, F.col(c)).alias(c) for c in rows.columns if c not in (ERRORS, "_source")]
+    split = counted.select(
+        *values, F.when(bad, F.array_join(ERRORS, ",")).alias("failed_columns"), F.col("_source").alias("source_row"),
+        F.when(bad, REJECTED).otherwise(LOADED).alias("outcome"),
+    )
+    split.write.mode("overwrite").partitionBy("outcome").parquet(f"{target}/load_id={ctx.run_id}")
+    return seen.get
+
+
+def _outcome(spark: SparkSession, target: str, outcome: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(target).where(F.col("outcome") == outcome).drop("outcome")
+
+
+def loaded_rows(spark: SparkSession, target: str) -> DataFrame:
+    """The good rows of all loads, with ``load_id``. Loads with other columns fill in nulls."""
+    return _outcome(spark, target, LOADED).drop("failed_columns", "source_row")
+
+
+def rejected_rows(spark: SparkSession, target: str) -> DataFrame:
+    """The error rows of all loads: load_id, failed_columns, source_row."""
+    return _outcome(spark, target, REJECTED).select("load_id", "failed_columns", "source_row")

@@ -1,102 +1,61 @@
-"""Joins against a side with unique keys that stay balanced when a key is hot.
+"""Small helpers that keep joins on keys balanced and narrow.
 
 Adaptive execution splits a skewed partition only when the shuffle lies directly under the
-join. That holds for lookups in stored tables, which therefore use plain joins. It does not
-hold when the unique side is the result of an aggregation on the join keys; those joins go
-through :func:`join_unique`, which salts the hot keys itself. Semi and anti joins take their
-right side from :func:`matching_keys`.
+join. That holds for stored tables; :func:`one_per_key` makes it hold for aggregates too, so a
+hot or missing key of the left side never needs to be looked for beforehand.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A key is hot when it fills this many average partitions. So at most half as many keys as
-# there are partitions can be hot, which bounds the broadcast list; the sketch tracks this
-# many items for each of them and so misses none.
-PARTITION_FACTOR = 2
-ITEMS_PER_KEY = 16
-# Rows that may remain of a hot key on the right side of a semi or anti join.
-KEY_SHARES = 64
+# Words of 64 bits in the filter of only_keys_of: at most 2 MB of words and bits are broadcast.
+FILTER_WORDS = 1 << 17
 
 
-@dataclass(frozen=True)
-class HotKeys:
-    """Hashes of hot keys with the number of shares each is split into."""
+def one_per_key(df: DataFrame, keys: Sequence[str], *aggregates: Column) -> DataFrame:
+    """One row per key with aggregates, for the right side of a join on the keys.
 
-    splits: tuple[tuple[int, int], ...] = ()
+    The rows are also grouped by a hash of the keys. That changes no group, but the join can't
+    use the grouping's shuffle and puts its own, of one row per key, directly under itself.
+    """
+    return df.groupBy(*keys, F.xxhash64(*keys).alias("_spread")).agg(*aggregates).drop("_spread")
 
-    def __bool__(self) -> bool:
-        return bool(self.splits)
 
+def _slot(df: DataFrame, keys: Sequence[str], like: DataFrame, slots: int) -> Column:
+    """A number for the keys that is the same on both sides of a join, whose key types may differ."""
+    values = []
+    for k in keys:
+        kind = like.schema[k].dataType
+        value = F.col(k) if df.schema[k].dataType == kind else F.col(k).try_cast(kind)
+        values.append(value + 0 if isinstance(kind, T.FractionalType) else value)  # one zero, not two
+    return F.pmod(F.xxhash64(*values), F.lit(slots))
 
-def find_hot_keys(
-    df: DataFrame,
-    keys: Sequence[str],
-    partitions: int | None = None,
-) -> HotKeys:
-    """Keys that would overload a shuffle partition, found in one pass over the key columns.
 
-    The sketch is combined on the map side, so only its fixed-size state is shuffled. Null
-    keys count as a key. Finding too few or too many keys changes the balance only, never
-    the join result.
-    """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    share = PARTITION_FACTOR / n
-    top = max(1, n // PARTITION_FACTOR)
-    row = (
-        df.select(F.xxhash64(*keys).alias("h"))
-        .agg(F.count("*").alias("n"), F.expr(f"approx_top_k(h, {top}, {max(1024, ITEMS_PER_KEY * top)})").alias("top"))
-        .first()
-    )
-    hot = [(t["item"], t["count"] / row["n"]) for t in row["top"] if t["count"] > share * row["n"]]
-    return HotKeys(tuple((h, max(2, round(s * n))) for h, s in hot[:top]))
-
-
-def join_unique(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    hot: HotKeys = HotKeys(),
-) -> DataFrame:
-    """Left join with a ``right`` that has at most one row per key.
-
-    Rows of a hot key are spread over several partitions by content and input partition,
-    both of which a repeated task reproduces; the one matching right row is copied to each.
-    """
-    keys = list(keys)
-    if not hot:
-        return left.join(right, keys, "left")
-    spark = left.sparkSession
-    listed = F.broadcast(spark.createDataFrame(list(hot.splits), "_hot long, _splits int"))
-
-    def marked(df: DataFrame) -> DataFrame:
-        hashed = df.withColumn("_hash", F.xxhash64(*keys))
-        return hashed.join(listed, hashed["_hash"] == listed["_hot"], "left").drop("_hash", "_hot")
-
-    spread = F.pmod(F.xxhash64(F.spark_partition_id(), *left.columns), F.col("_splits"))
-    salted_left = marked(left).withColumn(
-        "_salt", F.when(F.col("_splits").isNull(), F.lit(0)).otherwise(spread).cast("int")
-    )
-    copies = F.sequence(F.lit(0), F.coalesce("_splits", F.lit(1)) - 1)
-    salted_right = marked(right).withColumn("_salt", F.explode(copies)).drop("_splits")
-    return salted_left.drop("_splits").join(salted_right, [*keys, "_salt"], "left").drop("_salt")
-
-
-def matching_keys(
-    df: DataFrame, keys: Sequence[str], spread_by: Sequence[str]
-) -> DataFrame:
-    """Key columns for the right side of a semi or anti join, where repeats do no harm.
-
-    If some key is hot, its rows first shrink to a few per key, spread over tasks by other
-    columns. Grouping by more than the keys leaves the join's own shuffle directly under it,
-    so a hot key on the left side can still be split.
+def mark_keys_of(df: DataFrame, keys: Sequence[str], wanted: DataFrame, mark: str, words: int = FILTER_WORDS) -> DataFrame:
+    """``df`` with a boolean: whether a row's key may occur in ``wanted``, found without a shuffle of ``df``.
+
+    A bitmap over hashes of the wanted keys is broadcast. It has at most ``words`` rows of 64
+    bits, however many keys there are; beyond a few million keys it marks ever more other rows
+    too. Every row with a wanted key is marked.
     """
-    if not find_hot_keys(df, keys):
-        return df.select(*keys)
-    share = F.pmod(F.xxhash64(*spread_by), F.lit(KEY_SHARES))
-    return df.select(*keys, share.alias("_share")).distinct().drop("_share")
+    def parts(side: DataFrame) -> tuple[Column, Column]:
+        slot = _slot(side, keys, df, 64 * words)
+        return F.shiftright(slot, 6), slot.bitwiseAND(63).cast("int")
+
+    word, bit = parts(wanted)
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    bitmap = wanted.select(word.alias("_word"), flag.alias("_flag")).groupBy("_word").agg(F.bit_or("_flag").alias("_bits"))
+    word, bit = parts(df)
+    met = df.join(F.broadcast(bitmap), word == F.col("_word"), "left")
+    hit = F.call_function("shiftright", F.col("_bits"), bit).bitwiseAND(1) == 1
+    return met.select(*[f"`{c}`" for c in df.columns], F.coalesce(hit, F.lit(False)).alias(mark))
+
+
+def only_keys_of(df: DataFrame, keys: Sequence[str], wanted: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """Rows of ``df`` whose key may occur in ``wanted`` (:func:`mark_keys_of`); callers join by the keys afterwards."""
+    return mark_keys_of(df, keys, wanted, "_wanted", words).where("_wanted").drop("_wanted")

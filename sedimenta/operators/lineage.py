@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from sedimenta.config import RunContext
 from sedimenta.functions import viewtext
 from sedimenta.functions.text import timestamp
-from sedimenta.operators.keyed_join import find_hot_keys, join_unique
+from sedimenta.operators.keyed_join import one_per_key
+from sedimenta.sources.workspace import stash
 
 EXTERNAL = "EXT::"
 
@@ -56,15 +57,11 @@ def resolve_objects(sources: DataFrame, objects: DataFrame) -> DataFrame:
     """
     upper = objects.select(F.upper("db_name").alias("_db"), F.upper("table_name").alias("source_name"), "table_id")
     anywhere = upper.withColumn("_db", F.lit(""))
-    known = (
-        upper.filter(F.col("_db").isNotNull())
-        .unionByName(anywhere)
-        .groupBy("_db", "source_name")
-        .agg(F.min("table_id").alias("source_id"))
-    )
-    keyed = sources.withColumn("_db", F.coalesce("source_db", F.lit("")))
     keys = ["_db", "source_name"]
-    return join_unique(keyed, known, keys, find_hot_keys(keyed, keys)).drop("_db")
+    named = upper.filter(F.col("_db").isNotNull()).unionByName(anywhere)
+    known = one_per_key(named, keys, F.min("table_id").alias("source_id"))
+    keyed = sources.withColumn("_db", F.coalesce("source_db", F.lit("")))
+    return keyed.join(known, keys, "left").select(*sources.columns, "source_id")
 
 
 def view_edges(resolved: DataFrame) -> DataFrame:
@@ -120,7 +117,7 @@ def refresh_view_lineage(views: DataFrame, stored: DataFrame, objects: DataFrame
     Unchanged views keep their rows. A parsed view without sources gets one row with empty
     source columns, so that it counts as parsed. Views that are gone keep their rows.
     """
-    pending = views_to_parse(views, stored)
+    pending = stash(views_to_parse(views, stored), "pending-views")
     found = resolve_objects(view_sources(pending, ["ddl_hash"], keep_empty=True), objects)
     parsed = found.select(
         "view_id", "source_id", "source_db", "source_name", "ddl_hash",
@@ -135,31 +132,25 @@ def stored_edges(lineage: DataFrame) -> DataFrame:
     return view_edges(lineage.filter(F.col("source_name").isNotNull()))
 
 
-# --- column mappings -------------------------------------------------------------------
+# --- column mappings: ``items`` has view_id, position, expression and target_column ------
 
 
-def _items(views: DataFrame) -> DataFrame:
-    # Reading a text costs far more than moving it, and a few splits hold very many texts.
-    spread = views.select("view_id", "ddl").repartition("view_id", "ddl")
-    listed = spread.select(
-        "view_id",
-        viewtext.table_items(F.col("ddl")).alias("_tables"),
-        F.posexplode(viewtext.select_items(F.col("ddl"))).alias("_pos", "_item"),
-    )
-    expression, target = viewtext.split_alias(F.col("_item"))
-    return listed.select(
-        "view_id", "_tables", (F.col("_pos") + 1).alias("position"),
-        target.alias("target_column"), expression.alias("expression"),
-    ).withColumn("_refs", viewtext.column_refs(F.col("expression")))
+def _with_refs(items: DataFrame) -> DataFrame:
+    return items.withColumn("_refs", viewtext.column_refs(F.col("expression")))
 
 
-def view_columns(views: DataFrame) -> DataFrame:
+def view_columns(views: DataFrame, items: DataFrame) -> DataFrame:
     """Columns of each view: target, kind of transformation, expression, source columns.
 
+    ``items`` are the views' select items; the texts in ``views`` tell what an alias stands for.
+
     Kinds, tested in this order: ALL_COLUMNS, DIRECT, CASE, CAST, COMPUTED. An alias stands
     for its table; a column without alias belongs to the table if there is only one.
     """
-    items = _items(views)
+    # Reading a text costs far more than moving it, and a few splits hold very many texts.
+    spread = views.select("view_id", "ddl").repartition("view_id", "ddl")
+    tables = spread.select("view_id", viewtext.table_items(F.col("ddl")).alias("_tables"))
+    items = _with_refs(items).join(tables, "view_id")
     upper = F.upper("expression")
     simple = viewtext.is_column(F.col("expression"))
     kind = (
@@ -194,13 +185,13 @@ def view_columns(views: DataFrame) -> DataFrame:
 _PAIRS = "array<struct<table:string,column:string>>"
 
 
-def statement_columns(statements: DataFrame) -> DataFrame:
-    """Columns of SELECT statements (``view_id``, ``ddl``) with the coarser kinds.
+def statement_columns(items: DataFrame) -> DataFrame:
+    """Columns of SELECT statements, by their select items, with the coarser kinds.
 
     Columns count as sources only with an alias; an alias that contains "constant" marks
     constant columns.
     """
-    items = _items(statements)
+    items = _with_refs(items)
     upper = F.upper("expression")
     kind = (
         F.when(F.contains(upper, F.lit("CASE")) & F.contains(upper, F.lit("WHEN")), "CONDITIONAL_LOGIC")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import RunStatus
 from sedimenta.functions.text import timestamp
+from sedimenta.operators.substring import matching_pairs
 
 STALE_HOURS = 2
 # Fixed value: the type of bulk-load jobs in the job table.
@@ -192,6 +193,25 @@ def run_history(
     return job_run.orderBy(F.desc("start_time"), F.desc("run_id")).offset(offset).limit(limit)
 
 
+def run_history_after(
+    job_run: DataFrame,
+    start_time: str,
+    run_id: int,
+    job_id: int | None = None,
+    status: str | None = None,
+    limit: int = 50,
+) -> DataFrame:
+    """The page behind a page whose last row has this start time and run id.
+
+    Runs that can't be on the page are filtered at the scan, so a page costs the same however
+    many came before it; no task holds more than ``limit`` rows.
+    """
+    at = timestamp(start_time)
+    started = F.col("start_time")
+    behind = (started <= at) & ((started < at) | (F.col("run_id") < run_id))
+    return run_history(job_run.filter(behind), job_id, status, limit)
+
+
 def recent_runs(job_run: DataFrame, count: int = 10) -> DataFrame:
     return run_history(job_run, limit=count)
 
@@ -256,24 +276,19 @@ def fail_stale(runs: DataFrame, as_of: str, hours: int = STALE_HOURS, message: s
     return runs.select(*out)
 
 
-def import_status(jobs: DataFrame, job_run: DataFrame, names: Sequence[str]) -> DataFrame:
+def import_status(jobs: DataFrame, job_run: DataFrame, names: Sequence[str] | DataFrame) -> DataFrame:
     """For each table name, the bulk-load job whose name matches it and its last finished run.
 
-    ``%`` and ``_`` in a name act as wildcards. With several matching jobs the smallest job
-    id counts. Matches are unfolded within each job row, so no join over name pairs is needed;
-    the names are one array, so the plan doesn't grow with them.
+    ``names`` are given as a list or as a frame with ``source_table``. ``%`` and ``_`` in a
+    name act as wildcards. With several matching jobs the smallest job id counts. Names meet
+    only jobs that share a rare letter group with them (:func:`matching_pairs`).
     """
-    spark = jobs.sparkSession
-    names = list(dict.fromkeys(names))
-    wanted = spark.createDataFrame([(n,) for n in names], "source_table string")
-    pattern = lambda n: F.concat(F.lit("%"), n, F.lit("%"))
-    matches = F.filter(F.lit(names), lambda n: F.like("job_name", pattern(n)))
-    first = (
-        jobs.filter(F.col("job_type") == BULK_LOAD)
-        .select("job_id", F.explode(matches).alias("source_table"))
-        .groupBy("source_table")
-        .agg(F.min("job_id").alias("job_id"))
-    )
+    if not isinstance(names, DataFrame):
+        names = jobs.sparkSession.createDataFrame([(n,) for n in names], "source_table string")
+    wanted = names.select("source_table").distinct()
+    texts = jobs.filter(F.col("job_type") == BULK_LOAD).select(F.col("job_id").alias("id"), F.col("job_name").alias("text"))
+    pairs = matching_pairs(texts, wanted.select(F.col("source_table").alias("pattern")))
+    first = pairs.groupBy(F.col("pattern").alias("source_table")).agg(F.min("id").alias("job_id"))
     last = latest_run(job_run, order="end_time").select(
         "job_id", F.col("status").alias("last_load_status"), F.col("end_time").alias("last_load_time")
     )

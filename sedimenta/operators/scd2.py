@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from sedimenta.config import HIGH_DATE, Action, LoadSpec, RunContext, Scd2Config
 from sedimenta.functions.text import record_hash, timestamp
 from sedimenta.operators.foreign_keys import lookup_surrogate_key, resolve_foreign_keys
-from sedimenta.operators.keyed_join import find_hot_keys, join_unique, matching_keys
+from sedimenta.operators.keyed_join import one_per_key, only_keys_of
 from sedimenta.sources.workspace import stash
 
 ACTION = "_action"
 CLOSED_NOW = "_closed_now"
+INSERTED_NOW = "_inserted_now"
 
 
 def current_rows(history: DataFrame, cfg: Scd2Config = Scd2Config()) -> DataFrame:
@@ -32,11 +33,9 @@ def hash_differs(incoming: Column, stored: Column) -> Column:
     return incoming != stored
 
 
-def hash_parts(stored: Column) -> list[Column]:
-    """A hash of up to 32 bytes as numbers of up to 60 bits, and its length."""
-    digits = F.hex(stored)
-    parts = [F.conv(F.substring(digits, at, 15), 16, 10).cast("long") for at in range(1, 65, 15)]
-    return [*[F.when(stored.isNotNull(), F.coalesce(p, F.lit(0))) for p in parts], F.octet_length(stored).cast("long")]
+def digests(stored: Column) -> list[Column]:
+    """A stored hash as two numbers of 64 bits, which aggregate without a sort; null stays null."""
+    return [F.when(stored.isNotNull(), F.xxhash64(*salt, stored)) for salt in ([], [F.lit(1)])]
 
 
 def open_rows(history: DataFrame, spec: LoadSpec) -> Column:
@@ -56,32 +55,26 @@ def classify(
 ) -> DataFrame:
     """Staging rows with their record hash and an action: NEW, CHANGED or UNCHANGED.
 
-    The current side shrinks to one row per key before the join: smallest and largest value
-    of each part of the stored hash. Some current row differs from a batch row exactly when
-    one of these does, so several current rows of one key neither multiply the batch nor lose
-    a change. The parts are numbers, so that the aggregation needs no sort.
+    Of the current side only rows whose key may be in the batch are shuffled. They shrink to
+    one row per key before the join: smallest and largest digests of the stored hash. Some
+    current row differs from a batch row exactly when one of these does (128 bits in all), so
+    several current rows of one key neither multiply the batch nor lose a change.
     """
     cfg, keys = spec.scd2, list(spec.business_key)
     staging = _staged(staging, spec)
     columns = spec.hash_columns or spec.columns or staging.columns
     hashed = staging.withColumn(cfg.record_hash, record_hash(staging, columns, spec.hash_truncate))
-    stored = (
-        current_rows(history, cfg)
-        .dropna(how="any", subset=keys)
-        .groupBy(*keys)
-        .agg(
-            *[F.min(p).alias(f"_low{i}") for i, p in enumerate(hash_parts(F.col(cfg.record_hash)))],
-            *[F.max(p).alias(f"_high{i}") for i, p in enumerate(hash_parts(F.col(cfg.record_hash)))],
-            F.lit(True).alias("_known"),
-        )
+    parts = list(enumerate(digests(F.col(cfg.record_hash))))
+    current = current_rows(history, cfg).select(*keys, cfg.record_hash).dropna(how="any", subset=keys)
+    stored = one_per_key(
+        only_keys_of(current, keys, staging),
+        keys,
+        *[F.min(p).alias(f"_low{i}") for i, p in parts],
+        *[F.max(p).alias(f"_high{i}") for i, p in parts],
+        F.count("*").alias("_known"),
     )
-    hot = find_hot_keys(staging, keys)
-    joined = join_unique(hashed, stored, keys, hot)
-    differs = [
-        hash_differs(part, F.col(f"{end}{i}"))
-        for i, part in enumerate(hash_parts(F.col(cfg.record_hash)))
-        for end in ("_low", "_high")
-    ]
+    joined = hashed.join(stored, keys, "left")
+    differs = [hash_differs(part, F.col(f"{end}{i}")) for i, part in parts for end in ("_low", "_high")]
     action = (
         F.when(F.col("_known").isNull(), Action.NEW)
         .when(reduce(Column.__or__, differs), Action.CHANGED)
@@ -94,10 +87,9 @@ def identify_new(
     staging: DataFrame, history: DataFrame, spec: LoadSpec
 ) -> DataFrame:
     """Staging rows without a current version. Keys whose versions are all closed are new again."""
-    keys = list(spec.business_key)
-    current = current_rows(history, spec.scd2)
-    known = matching_keys(current, keys, [spec.scd2.record_hash])
-    return _staged(staging, spec).join(known, keys, "left_anti")
+    keys, staging = list(spec.business_key), _staged(staging, spec)
+    known = only_keys_of(current_rows(history, spec.scd2).select(*keys), keys, staging)
+    return staging.join(known, keys, "left_anti")
 
 
 def identify_changed(staging: DataFrame, history: DataFrame, spec: LoadSpec) -> DataFrame:
@@ -113,10 +105,9 @@ def mark_closed(
 ) -> DataFrame:
     """History with the open versions of the changed keys closed, plus ``_closed_now``."""
     cfg, keys = spec.scd2, list(spec.business_key)
-    hit = changed.select(*keys).dropna(how="any").distinct().withColumn("_hit", F.lit(True))
-    hot = find_hot_keys(history, keys)
-    joined = join_unique(history, hit, keys, hot)
-    closes = F.coalesce(F.col("_hit") & open_rows(history, spec), F.lit(False))
+    hit = one_per_key(changed.select(*keys).dropna(how="any"), keys, F.count("*").alias("_hit"))
+    joined = history.join(hit, keys, "left").select(*history.columns, "_hit")
+    closes = F.coalesce(F.col("_hit").isNotNull() & open_rows(history, spec), F.lit(False))
     now = timestamp(ctx.run_ts)
     updates = {
         cfg.current_flag: F.lit(cfg.closed_value),
@@ -180,9 +171,9 @@ def _lookup_columns(spec: LoadSpec) -> list[str]:
 class Scd2Result:
     """Outcome of a load.
 
-    ``rows`` holds every row that was open before plus the inserted ones, with a boolean
-    ``_closed_now``; it comes from one pass over the open rows and can be written in one
-    job, split by that column. ``past`` are the rows the load leaves as they are.
+    ``rows`` holds every row that was open before plus the inserted ones, with booleans
+    ``_closed_now`` and ``_inserted_now``; it comes from one pass over the open rows and can be
+    written in one job, split by the first. ``past`` are the rows the load leaves as they are.
     """
 
     rows: DataFrame
@@ -192,16 +183,16 @@ class Scd2Result:
     @property
     def closed(self) -> DataFrame:
         """Versions to append to the historical rows."""
-        return self.rows.filter(CLOSED_NOW).drop(CLOSED_NOW)
+        return self.rows.filter(CLOSED_NOW).drop(CLOSED_NOW, INSERTED_NOW)
 
     @property
     def current(self) -> DataFrame:
         """Rows that replace the open rows."""
-        return self.rows.filter(~F.col(CLOSED_NOW)).drop(CLOSED_NOW)
+        return self.rows.filter(~F.col(CLOSED_NOW)).drop(CLOSED_NOW, INSERTED_NOW)
 
     @property
     def history(self) -> DataFrame:
-        return self.past.unionByName(self.rows.drop(CLOSED_NOW))
+        return self.past.unionByName(self.rows.drop(CLOSED_NOW, INSERTED_NOW))
 
 
 def combine(
@@ -217,7 +208,9 @@ def combine(
     is_open = F.coalesce(open_rows(history, spec), F.lit(False))
     marked = mark_closed(history.filter(is_open), changed, spec, ctx)
     inserted = new_versions(tagged, spec, ctx, key_table)
-    rows = marked.unionByName(inserted.withColumn(CLOSED_NOW, F.lit(False)))
+    rows = marked.withColumn(INSERTED_NOW, F.lit(False)).unionByName(
+        inserted.withColumns({CLOSED_NOW: F.lit(False), INSERTED_NOW: F.lit(True)})
+    )
     return Scd2Result(rows=rows, inserted=inserted, past=history.filter(~is_open))
 
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedimenta.config import KEY_TABLE_SCHEMA, UNKNOWN_SK, RunContext
@@ -50,22 +49,21 @@ def number_distinct(df: DataFrame, *columns: str, position: str = "position") ->
     Equals ``dense_rank`` over the whole frame, without a window that puts all rows into one
     task: rows are range-partitioned and sorted, written once so that the sampled range
     bounds stay fixed, and each row adds the size of the partitions before its own to its
-    number within the partition. Only one count per partition reaches the driver.
+    number within the partition. The frame is stored first: sampling the bounds and dealing
+    the rows out both read it. The window runs over one count per partition.
     """
-    spark = df.sparkSession
     row_id = F.monotonically_increasing_id()
-    ordered = df.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_id", row_id)
+    stored = stash(df, "unranked")
+    ordered = stored.repartitionByRange(*columns).sortWithinPartitions(*columns).withColumn("_id", row_id)
     fixed = stash(ordered, "ranked")
     part = F.shiftrightunsigned("_id", _ROW_BITS)
-    sizes = sorted((r["p"], r["count"]) for r in fixed.groupBy(part.alias("p")).count().collect())
-    starts = accumulate((n for _, n in sizes), initial=0)
-    offsets = spark.createDataFrame(
-        [(p, start) for (p, _), start in zip(sizes, starts)], "_part long, _start long"
-    )
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = fixed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     row = F.col("_id").bitwiseAND((1 << _ROW_BITS) - 1)
     return (
         fixed.withColumn("_part", part)
-        .join(F.broadcast(offsets), "_part")
+        .join(F.broadcast(starts), "_part")
         .withColumn(position, F.col("_start") + row + 1)
         .drop("_part", "_start", "_id")
     )

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from sedimenta.config import Action, LoadSpec, MasterLookup, RunContext, Scd2Config, history_schema
 from sedimenta.functions.text import record_hash
 from sedimenta.operators import scd2
-from sedimenta.operators.keyed_join import HotKeys, find_hot_keys, join_unique, matching_keys
+from sedimenta.operators.foreign_keys import resolve_foreign_keys
+from sedimenta.operators.keyed_join import one_per_key, only_keys_of
+from sedimenta.operators.merge import merge_from_view
 from sedimenta.operators.stats import table_statistics
 
 BATCH = "k long, v string"
@@ -168,37 +170,100 @@ def test_random_loads_follow_a_plain_model(spark):
     assert total["Total Records"] == total["Current Records"] + total["Historical Records"]
 
 
-def test_hot_key_is_found_and_salted_join_is_exact(spark):
-    n = 6000
-    left = spark.range(n).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
-    left = left.withColumn("k", F.when(F.col("id") % 3 == 1, None).otherwise(F.col("k")))
-    right = spark.range(0, n, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("w"))
-    right = right.unionByName(spark.createDataFrame([(7, 70)], "k long, w long"))
-    hot = find_hot_keys(left, ["k"])
-    assert len(hot.splits) == 2  # the number 7 and the missing key
-    salted = join_unique(left, right, ["k"], hot)
-    assert rows(salted.select("id", "k", "w")) == rows(left.join(right, ["k"], "left").select("id", "k", "w"))
-    # Without run-time merging of small partitions the hot key shows in several tasks.
-    for name, value in (("adaptive.enabled", "false"), ("autoBroadcastJoinThreshold", "-1")):
-        spark.conf.set(f"spark.sql.{name}", value)
+@pytest.fixture
+def settings(spark):
+    """Session settings for one test."""
+    before = {}
+
+    def put(**values):
+        for name, value in values.items():
+            name = f"spark.sql.{name.replace('__', '.')}"
+            before.setdefault(name, spark.conf.get(name, None))
+            spark.conf.set(name, value)
+
+    yield put
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_shuffles_lie_directly_under_joins_with_aggregates(spark, settings):
+    """That is what lets adaptive execution split a hot or missing key."""
+    settings(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    left, right = spark.range(50).withColumnRenamed("id", "k"), spark.range(20).selectExpr("id % 5 AS k", "id")
+    joined = left.join(one_per_key(right, ["k"], F.max("id").alias("m")), "k", "left")
+    text = [x.strip(" :+-*()0123456789") for x in joined._jdf.queryExecution().executedPlan().toString().splitlines()]
+    at = [i for i, x in enumerate(text) if x.startswith("Sort [k")]
+    assert len(at) == 2 and all("ENSURE_REQUIREMENTS" in text[i + 1] for i in at)
+    assert rows(joined) == rows(left.join(right.groupBy("k").agg(F.max("id").alias("m")), "k", "left"))
+
+
+def test_hot_and_missing_keys_are_split(spark, settings):
+    settings(
+        autoBroadcastJoinThreshold="-1", adaptive__advisoryPartitionSizeInBytes="8k",
+        adaptive__skewJoin__skewedPartitionThresholdInBytes="8k", adaptive__skewJoin__skewedPartitionFactor="1.5",
+    )
+    hot = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id"))
+    left = spark.range(0, 60_000, 1, 8).select(hot.alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    joined = left.join(one_per_key(left, ["k"], F.count("*").alias("n")), "k", "left")
+    placed = joined.select("k", "v", "n", F.spark_partition_id().alias("p")).collect()
+    assert len({r["p"] for r in placed if r["k"] == 7}) > 1
+    assert len({r["p"] for r in placed if r["k"] is None}) > 1
+    assert {r["n"] for r in placed if r["k"] == 7} == {20_001}  # and the row of its own
+
+
+@pytest.mark.parametrize(("kind", "other"), [("long", "int"), ("int", "long"), ("string", "string"), ("double", "long"), ("decimal(9,2)", "int")])
+def test_rows_of_wanted_keys_are_never_lost(spark, kind, other):
+    rows_ = spark.range(3000).select(F.col("id").cast(kind).alias("k"), "id")
+    wanted = spark.range(0, 3000, 7).select(F.col("id").cast(other).alias("k"))
+    left = only_keys_of(rows_, ["k"], wanted)
+    assert left.columns == ["k", "id"]
+    assert left.join(wanted, "k", "left_semi").count() == wanted.count()
+    assert wanted.count() <= left.count() < 500
+    few = only_keys_of(rows_, ["k"], wanted, words=2)
+    assert few.join(wanted, "k", "left_semi").count() == wanted.count()
+
+
+def test_zeros_and_missing_keys_pass(spark):
+    side = spark.createDataFrame([(0.0, 1), (-0.0, 2), (None, 3), (5.0, 4)], "k double, id long")
+    wanted = spark.createDataFrame([(-0.0,)], "k double")
+    assert rows(only_keys_of(side, ["k"], wanted).select("id")) == [(1,), (2,)]
+
+
+def test_rows_entering_a_classification_follow_the_batch(spark):
+    before = load(spark, empty_history(spark), [(k, "a") for k in range(4000)]).history
+    small = batch(spark, (1, "x"), (2, "a"), (9000, "n"))
+    text = plan(scd2.classify(small, before, SPEC))
+    assert "_bits" in text and text.index("_low0") < text.index("_bits")
+    kept = only_keys_of(scd2.current_rows(before).select("k"), ["k"], small)
+    assert kept.count() <= 10
+    assert rows(scd2.identify_new(small, before, SPEC)) == [(9000, "n")]
+
+
+def test_no_job_runs_while_plans_are_built(spark):
+    before = load(spark, empty_history(spark), [(1, "a"), (2, "b")]).history
+    parent = spark.createDataFrame([(1, 10), (1, -1), (2, 20)], "pk long, sk long")
+    view = before.withColumn("VIEW_SK", F.lit(1))
+    context = spark.sparkContext
+    context.setJobGroup("building", "nothing may run")
     try:
-        salted = join_unique(left, right, ["k"], hot)
-        parts = salted.filter("k = 7").select(F.spark_partition_id().alias("p")).distinct().count()
+        tagged = scd2.classify(batch(spark, (1, "x")), before, SPEC)
+        scd2.identify_new(batch(spark, (1, "x")), before, SPEC)
+        scd2.mark_closed(before, tagged, SPEC, CTX)
+        resolve_foreign_keys(tagged, [MasterLookup("P", "k", parent, "pk", "sk")])
+        merge_from_view(view, before, "k", ["v"], "VIEW_SK", "SK", CTX)
+        assert context.statusTracker().getJobIdsForGroup("building") == []
     finally:
-        for name in ("adaptive.enabled", "autoBroadcastJoinThreshold"):
-            spark.conf.unset(f"spark.sql.{name}")
-    assert parts > 1
-    assert not find_hot_keys(spark.range(1000).withColumnRenamed("id", "k"), ["k"])
+        context._jsc.clearJobGroup()
 
 
-def test_hot_keys_on_the_right_of_an_anti_join(spark):
-    right = spark.range(9000).select(F.when(F.col("id") < 6000, 1).otherwise(F.col("id")).alias("k"), "id")
-    few = matching_keys(right, ["k"], ["id"])
-    assert few.filter("k = 1").count() <= 64
-    assert rows(few.distinct()) == rows(right.select("k").distinct())
-    before = load(spark, empty_history(spark), [(1, f"v{i}") for i in range(400)] + [(2, "a")]).history
-    staging = batch(spark, (1, "x"), (2, "a"), (3, "b"), (None, "c"))
-    assert rows(scd2.identify_new(staging, before, SPEC)) == [(3, "b"), (None, "c")]
+def test_plans_of_very_many_partitions(spark, settings):
+    settings(shuffle__partitions="200000")
+    before = load(spark, empty_history(spark), [(1, "a")], durable=False).rows
+    assert "Join" in plan(scd2.classify(batch(spark, (1, "x")), before, SPEC))
 
 
 def test_load_with_hot_key_equals_plain_load(spark):
@@ -206,8 +271,8 @@ def test_load_with_hot_key_equals_plain_load(spark):
     items += [(k, "x") for k in range(2, 100)]
     before = load(spark, empty_history(spark), [(1, "a"), (5, "x"), (6, "old")]).history
     plain = load(spark, before, items, LATER)
-    salted = load(spark, before, items, LATER)
-    assert rows(salted.history) == rows(plain.history)
+    lazy = load(spark, before, items, LATER, durable=False)
+    assert rows(lazy.history) == rows(plain.history)
     assert actions(spark, before, items) == actions(spark, before, items)
 
 

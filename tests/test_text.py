@@ -49,31 +49,19 @@ def test_texts_that_may_miss_sources(spark):
     assert sorted(rows(lineage.unread_views(df))) == [(1,), (2,)]
 
 
-ITEMS = [
-    ("SELECT a, b.c AS d, f(x, g(y), 'p, q') e FROM t", [("a", "a"), ("b.c", "d"), ("f(x, g(y), 'p, q')", "e")]),
-    ("SELECT DISTINCT CASE WHEN a = 1 THEN b ELSE c END FROM t", [("CASE WHEN a = 1 THEN b ELSE c END",) * 2]),
-    ("SELECT TOP 5 a FROM t", [("a", "a")]),
-    ("SELECT 1 AS x", [("1", "x")]),
-    ("SELECT (SELECT max(i) FROM u) AS m, 2 y FROM t", [("(SELECT max(i) FROM u)", "m"), ("2", "y")]),
-    ("WITH c AS (SELECT z FROM u) SELECT c.z FROM c", [("c.z", "z")]),
-    ("SELECT a AS one FROM t UNION SELECT b AS two FROM u", [("a", "one")]),
-]
-
-
-@pytest.mark.parametrize("number", range(len(ITEMS)))
-def test_select_items(spark, number):
-    ddl, want = ITEMS[number]
-    df = spark.createDataFrame([(ddl,)], "ddl string")
-    items = df.select(F.posexplode(viewtext.select_items(F.col("ddl"))).alias("p", "i"))
-    got = items.orderBy("p").select(*viewtext.split_alias(F.col("i"))).collect()
-    assert [tuple(r) for r in got] == want
-
-
 def test_long_literal_does_not_overflow(spark):
     ddl = "SELECT '" + "x''" * 50_000 + "' AS big, a FROM db.t -- " + "y" * 100_000
     df = spark.createDataFrame([(1, "D", "V", ddl)], "view_id long, db_name string, view_name string, ddl string")
     assert rows(lineage.view_sources(df)) == [(1, "DB", "T")]
-    assert [r["target_column"] for r in lineage.view_columns(df).orderBy("position").collect()] == ["big", "a"]
+    items = spark.createDataFrame([(1, 1, "'" + "x''" * 50_000 + "'", "big"), (1, 2, "a", "a")], "view_id long, position int, expression string, target_column string")
+    mapped = lineage.view_columns(df, items).orderBy("position").collect()
+    assert [(r["target_column"], r["transform_type"], len(r["sources"])) for r in mapped] == [("big", "COMPUTED", 0), ("a", "DIRECT", 1)]
+
+
+def test_reading_lists_takes_time_in_proportion(spark):
+    text = "SELECT * FROM " + "(SELECT a FROM (SELECT b FROM " * 20_000
+    df = spark.createDataFrame([(1, text), (2, text + " (SELECT 1) x, db.t"), (3, None)], "view_id long, ddl string")
+    assert rows(lineage.unread_views(df)) == [(2,)]
 
 
 def test_type_names(spark):
