@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.storage import stash
+from sedimenta.llm.storage import row_key, stash
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DETAIL = "line_dedup"
@@ -58,7 +58,10 @@ def repeated_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> D
 
 
 def deduplicate(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """The documents with ``n_lines``, ``n_dropped`` and ``kept_text`` in a struct column ``DETAIL``."""
+    """The documents with ``n_lines``, ``n_dropped`` and ``kept_text`` in a struct, the last column.
+
+    It is named ``DETAIL``, with underscores in front if the documents have a column of that name.
+    """
     drops = repeated_lines(docs, min_chars, min_docs).select(
         F.col("doc_id").alias("_drop_doc"), F.col("text_hash").alias("_drop_hash"), "drop"
     )
@@ -85,4 +88,6 @@ def deduplicate(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(pieces, "\n")).alias("kept_text"),
     )
-    return edges.select(*[F.col("row").getField(c).alias(c) for c in names], result.alias(DETAIL))
+    # First by itself: beside columns of the documents its names could be taken for theirs.
+    done = edges.select("row", result.alias("result"))
+    return done.select(*[F.col("row").getField(c).alias(c) for c in names], F.col("result").alias(row_key(docs, DETAIL)))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.llm.storage import row_key, stash
+from sedimenta.llm.storage import stash
 
 BLANK = r"[\x20\x09-\x0D]"
 BLANKS = " \t\n\u000b\f\r"
@@ -96,8 +96,12 @@ def _fence(sketch: str, slack: float) -> Column:
     return upper + F.greatest(SPREADS * (upper - at(MIDDLE)), F.lit(slack))
 
 
-def thresholds(rows: DataFrame, lang: str, source: str, stats: str) -> DataFrame:
-    """Upper fences for every language and source that occurs: a table of groups, not of documents."""
+def thresholds(rows: DataFrame, lang: str, source: str, stats: str, min_group: int = MIN_GROUP) -> DataFrame:
+    """Upper fences for every language and source that occurs: a table of groups, not of documents.
+
+    A group of fewer than ``min_group`` documents takes the fence of its language, and that of
+    all documents where the language has no more either.
+    """
     names = list(SLACK)
     values = rows.select(F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), *[v.alias(k) for k, v in ratios(stats).items()])
     sketches = values.groupBy("g_lang", "g_source").agg(
@@ -115,23 +119,29 @@ def thresholds(rows: DataFrame, lang: str, source: str, stats: str) -> DataFrame
     joined = own.join(lang_wide, F.col("g_lang").eqNullSafe(F.col("l_lang"))).join(F.broadcast(every))
 
     def chosen(k: str) -> Column:
-        group = F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{k}")).when(F.col("lang_n") >= MIN_GROUP, F.col(f"lang_{k}"))
+        group = F.when(F.col("own_n") >= min_group, F.col(f"own_{k}")).when(F.col("lang_n") >= min_group, F.col(f"lang_{k}"))
         return F.coalesce(group, F.col(f"all_{k}"))
 
     return joined.select("g_lang", "g_source", *[chosen(k).alias(f"max_{k}") for k in names])
 
 
-def apply_rules(docs: DataFrame, lang: str = "lang", source: str = "source") -> DataFrame:
-    """The documents without their text, with ``rule_counts``, ``base_failed`` and ``kept``."""
-    stats = row_key(docs, "rule_counts")
-    names = [c for c in docs.columns if c not in ("text", "base_failed", "kept")]
-    rows = stash(with_counts(docs, stats).select(*[f"`{c}`" for c in names], stats), "counts")
-    limits = stash(thresholds(rows, lang, source, stats), "thresholds")
-    met = rows.join(limits, F.col(lang).eqNullSafe(F.col("g_lang")) & F.col(source).eqNullSafe(F.col("g_source")), "left")
+def apply_rules(docs: DataFrame, lang: str = "lang", source: str = "source", min_group: int = MIN_GROUP) -> DataFrame:
+    """The documents without their text, with ``rule_counts``, ``base_failed`` and ``kept``.
+
+    Input columns with one of these three names are replaced; all others pass, whatever their names.
+    """
+    stats, added = "rule_counts", ("rule_counts", "base_failed", "kept")
+    names = [c for c in docs.columns if c != "text" and c not in added]
+    # A row's own columns travel in one struct, apart from the names that the work needs.
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "text", F.col(lang).alias("in_lang"), F.col(source).alias("in_source")
+    )
+    rows = stash(with_counts(packed, stats).drop("text"), "counts")
+    limits = stash(thresholds(rows, "in_lang", "in_source", stats, min_group), "thresholds")
+    met = rows.join(limits, F.col("in_lang").eqNullSafe(F.col("g_lang")) & F.col("in_source").eqNullSafe(F.col("g_source")), "left")
     within = F.lit(True)
     for k, value in ratios(stats).items():
         within = within & (value <= F.coalesce(F.col(f"max_{k}"), F.lit(float("inf"))))
     failed = base_failed(stats)
-    return met.select(
-        *[f"`{c}`" for c in names], F.col(stats).alias("rule_counts"), failed.alias("base_failed"), (~failed & within).alias("kept")
-    )
+    own = [F.col("row").getField(c).alias(c) for c in names]
+    return met.select(*own, stats, failed.alias("base_failed"), (~failed & within).alias("kept"))

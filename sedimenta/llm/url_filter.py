@@ -137,7 +137,8 @@ def judge(
 ) -> DataFrame:
     """Columns of the pages without their html, with ``host, path, rule, verdict, component``.
 
-    ``component`` is the smallest address of a page's aliases, null without links.
+    ``component`` is the smallest address of a page's aliases, null without links. Input columns
+    with one of these five names are replaced; all others pass, whatever their names.
     """
     tied = page_links(pages, url, html)
     if links is not None:
