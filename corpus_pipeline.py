@@ -27,7 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others keep; a null text stays null."""
     done = line_dedup.deduplicate(docs)
-    kept = F.when(F.col("text").isNotNull(), F.col(f"{line_dedup.DETAIL}.kept_text"))
+    kept = F.when(F.col("text").isNotNull(), F.col(f"`{done.columns[-1]}`.kept_text"))
     return _with_text(done.withColumn("text", kept), docs)
 
 
