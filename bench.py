@@ -19,13 +19,24 @@ from pyspark.sql import functions as F
 
 from sedimenta.config import KeyLookup, LoadSpec, RunContext
 from sedimenta.functions.text import key_hash, natural_key, record_hash, timestamp
-from sedimenta.operators import catalog, graph, merge, runlog, scd2, stats, surrogate
+from sedimenta.operators import catalog, graph, ingest, merge, runlog, scd2, stats, surrogate
+from sedimenta.plans.load import load_delta, load_history
+from sedimenta.sources.bucketed import BucketedTable
+from sedimenta.sources.versioned import VersionedTable
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 CTX = RunContext("2024-02-01 00:00:00")
 SPEC = LoadSpec(business_key=["o_orderkey"], sk_column="ORDER_SK", domain="SALES")
+DELTA = LoadSpec(business_key=["o_orderkey"], surrogate=None)
+EXTRACT = [
+    ingest.ColumnMapping("o_orderkey", "ORDER_ID", "BIGINT", nullable=False),
+    ingest.ColumnMapping("o_custkey", "CUSTOMER_ID", "BIGINT"),
+    ingest.ColumnMapping("o_totalprice", "PRICE", "DECIMAL(18,2)"),
+    ingest.ColumnMapping("o_orderdate", "ORDERED_AT", "TIMESTAMP(6)"),
+    ingest.ColumnMapping("o_orderpriority", "PRIO", "VARCHAR(20)"),
+]
 
 
 def session() -> SparkSession:
@@ -62,6 +73,14 @@ class Inputs:
                  F.col("k").cast("string").alias("to_id"), F.lit(kind).alias("edge_type"), F.col("k").alias("job_id"))
                  for end, kind in ((half, "ETL"), (third, "VIEW"))]
         self.edges = self.store("edges", steps[0].unionByName(steps[1]))
+        # One percent of the orders, neighbours by key, that change with every load.
+        self.loads = 0
+        current = self.history.drop("ORDER_SK", "CUSTOMER_SK")
+        self.buckets = BucketedTable(f"{self.work}/buckets", current.schema, ["o_orderkey"], buckets=200, width=1000)
+        self.whole = VersionedTable(f"{self.work}/whole", current.schema)
+        is_open = F.col("IS_CURRENT") == "Y"
+        self.buckets.adopt(current, is_open)
+        self.whole.publish(current.withColumn("_closed_now", ~is_open))
         self.registered = self.store("registered", self._catalog(parts, "Brand#9", "Brand#0"))
         self.actual = self.store("actual", self._catalog(parts, "Brand#7", "Brand#3"))
 
@@ -112,6 +131,12 @@ class Inputs:
         fk = KeyLookup("CUSTOMER_SK", ["o_custkey"], self.customer_keys, "SALES")
         return LoadSpec(["o_orderkey"], sk_column="ORDER_SK", domain="SALES", foreign_keys=[fk])
 
+    def delta(self) -> tuple[DataFrame, RunContext]:
+        self.loads += 1
+        near = self.orders.filter(F.col("o_orderkey") % 100_000 < 1000)
+        changed = near.withColumn("o_orderstatus", F.lit(f"V{self.loads}"))
+        return changed, RunContext(f"2024-02-{self.loads:02d} 00:00:00", run_id=self.loads)
+
     @property
     def job_runs(self) -> DataFrame:
         return self.table("events").select(
@@ -159,6 +184,16 @@ def drift(i: Inputs):
     sink(catalog.drift_summary(catalog.compare_catalogs(i.registered, i.actual)))
 
 
+def delta_publish(i: Inputs):
+    batch, ctx = i.delta()
+    load_delta(i.spark, batch, i.buckets, DELTA, ctx)
+
+
+def ingest_load(i: Inputs):
+    text = i.orders.select(*[F.col(c).cast("string").alias(c) for c in i.orders.columns])
+    ingest.ingest(text, EXTRACT, f"{i.work}/raw", RunContext("2024-02-01 00:00:00", run_id=1))
+
+
 def reach(i: Inputs):
     top = i.edges.agg(F.max(F.col("job_id")).alias("m")).select(F.col("m").cast("string").alias("root_id"))
     sink(graph.reachable(i.edges, top))
@@ -237,6 +272,19 @@ def plain_drift(i: Inputs):
         sink(catalog.drift_summary(catalog.compare_catalogs(i.registered.filter(one), i.actual.filter(one))))
 
 
+def plain_delta_publish(i: Inputs):
+    batch, ctx = i.delta()
+    load_history(i.spark, batch, i.whole, DELTA, ctx)
+
+
+def plain_ingest_load(i: Inputs):
+    text = i.orders.select(*[F.col(c).cast("string").alias(c) for c in i.orders.columns])
+    rows = i.spark.read.parquet(_saved(i, "typed", ingest.typed(text, EXTRACT)))
+    ingest.accepted(rows).write.parquet(tempfile.mkdtemp(dir=i.work) + "/good")
+    ingest.load_counts(rows).first()
+    ingest.rejected(rows).write.parquet(tempfile.mkdtemp(dir=i.work) + "/bad")
+
+
 def plain_reach(i: Inputs):
     root = str(i.edges.agg(F.max(F.col("job_id"))).first()[0])
     queue, seen = [(root, 0)], {root}
@@ -258,6 +306,8 @@ PAIRS = {
     "latest_run_per_job": (latest_run, plain_latest_run),
     "schema_drift": (drift, plain_drift),
     "lineage_reachability": (reach, plain_reach),
+    "delta_publish": (delta_publish, plain_delta_publish),
+    "ingest_load": (ingest_load, plain_ingest_load),
 }
 
 
