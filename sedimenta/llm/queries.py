@@ -246,16 +246,28 @@ WITH RECURSIVE u AS (
         || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) END AS address
     FROM h
 ), t AS (
-    SELECT address, host, unnest(list_concat(
+    SELECT address, host, path, unnest(list_concat(
         list_transform(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'),
-            lambda x: regexp_extract(x, '(?i)\bhref\s*=\s*["'']?([^\s"''>]+)', 1)),
+            lambda x: regexp_extract(regexp_replace(x, '(?i)&(?:amp|#0*38|#x0*26);', '&', 'g'), '(?i)\bhref\s*=\s*["'']?([^\s"''>]+)', 1)),
         list_transform(regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'),
-            lambda x: regexp_extract(x, '(?i)\burl\s*=\s*["'']?([^\s"''>;]+)', 1)))) AS target
+            lambda x: regexp_extract(regexp_replace(x, '(?i)&(?:amp|#0*38|#x0*26);', '&', 'g'), '(?i)\burl\s*=\s*["'']?([^\s"''>;]+)', 1)))) AS target
     FROM a
+), w AS (
+    SELECT *, regexp_extract(target, '^[^?#]*') AS tp, CASE WHEN path = '' THEN '/' ELSE path END AS own FROM t
+), v AS (
+    SELECT *, CASE WHEN tp = '' THEN own WHEN target LIKE '/%' THEN tp ELSE regexp_extract(own, '^.*/') || tp END AS full_path FROM w
+), z AS (
+    SELECT *, CASE WHEN tp <> '' AND regexp_matches(full_path, '/\.\.?(/|$)') THEN '/' || array_to_string(list_concat(
+        list_reduce(list_transform(string_split(full_path, '/')[2:], lambda x: [x]), lambda done, x:
+            CASE x[1] WHEN '..' THEN done[:len(done) - 1] WHEN '.' THEN done ELSE list_concat(done, x) END, CAST([] AS VARCHAR[])),
+        CASE WHEN string_split(full_path, '/')[-1] IN ('.', '..') THEN [''] ELSE CAST([] AS VARCHAR[]) END), '/') ELSE full_path END AS resolved
+    FROM v
 ), f AS (
-    SELECT address, CASE WHEN contains(target, '://') THEN substr(target, strpos(target, '://') + 3)
-        WHEN target LIKE '//%' THEN substr(target, 3) WHEN target LIKE '/%' THEN host || target END AS rest
-    FROM t
+    SELECT address, CASE WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN substr(target, strpos(target, '://') + 3)
+        WHEN target LIKE '//%' THEN substr(target, 3)
+        WHEN target <> '' AND NOT target LIKE '#%' AND NOT regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:')
+            THEN host || resolved || regexp_extract(target, '\?[^#]*') END AS rest
+    FROM z
 ), l AS (
     SELECT address AS a, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
         || CASE WHEN regexp_extract(rest, '^[^/?#]*([^#]*)', 1) LIKE '/%' THEN '' ELSE '/' END

@@ -6,13 +6,14 @@ import math
 import random
 import re
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
 
-from sedimenta.llm import lang_cnn, line_dedup, pii, qda, quality_rules
+from sedimenta.llm import lang_cnn, line_dedup, pii, qda, quality_rules, queries
 
 TEXTS = [
     "", "one", "One ONE two; a| b| c!", "naïve café ½ 中文 € 'll it's", "x " * 40, "the end\nthe end\nthe end of it all, now!",
@@ -204,3 +205,25 @@ def test_fences_follow_exact_quantiles(spark):
         assert edge(-0.03) <= fences[source] <= edge(0.03)
     few = quality_rules.thresholds(counted, "lang", "source", "rule_counts", min_group=700).collect()
     assert len({r["max_symbol_share"] for r in few}) == 1
+
+
+# --- links of pages against SQL ----------------------------------------------------------------
+
+
+def test_url_filter_with_links_equals_its_sql(spark, tmp_path):
+    link, moved = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    targets = [
+        "page2.html", "../x", "../../../es/x?y=../z", "./", "..", "?id=3", "/r/./s?u=http://b.net/fr/", "//B.net/es/x", "mailto:me@b.org", "#top",
+        "http://b.net/fr/x?p=1&amp;q=2", "h?p=1&#x26;q=2", "http://www.example.com/en/1", "http://example.com/en/2",
+    ]
+    pick = random.Random(6)
+    pages = [(i, f"http://{pick.choice('abc')}.{pick.choice(['org', 'net', 'com'])}/{pick.choice(['es', 'en/d', 'fr'])}/{i % 9}",
+              pick.choice([link, moved]).format(pick.choice(targets)) if i % 3 else None) for i in range(150)]
+    pages += [(900, None, link.format("/x")), (901, "no scheme", link.format("/x")), (902, "http://a.net", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    df = queries.op2_url_filter(spark, str(tmp_path))
+    want = con.sql(queries.ORACLES["op2_url_filter"]).project(", ".join(df.columns)).fetchall()
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, want))
+    assert any(rule is None and verdict == "block" for *_, rule, verdict in want)
