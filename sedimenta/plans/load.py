@@ -8,7 +8,7 @@ from datetime import datetime, timezone
 from decimal import Decimal
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -91,16 +91,18 @@ def load_delta(
         tagged = stash(tagged, "classified")
         touched = none if initial else target.open(spark, target.buckets_of(tagged))
         seen = Observation()
-        rows = stash(_observed(scd2.combine(tagged, touched, spec, ctx, keys).rows, seen), "replaced")
-        target.replace(rows, scd2.CLOSED_NOW, ctx.run_id, reset=initial)
+        rows = stash(_observed(scd2.combine(tagged, touched, spec, ctx, keys).rows, seen, target.bucket().isNull()), "replaced")
+        target.replace(rows, scd2.CLOSED_NOW, ctx.run_id, reset=initial, keyless=seen.get["keyless"] > 0)
         counts = LoadCounts(rows_read, seen.get["inserted"], seen.get["closed"])
         target.log(spark, ctx.run_id, counts.rows_read, counts.rows_inserted, counts.rows_updated)
         return counts
 
 
-def _observed(rows: DataFrame, seen: Observation) -> DataFrame:
-    inserted, closed = (F.count_if(c) for c in (scd2.INSERTED_NOW, scd2.CLOSED_NOW))
-    return rows.observe(seen, inserted.alias("inserted"), closed.alias("closed"))
+def _observed(rows: DataFrame, seen: Observation, keyless: Column | None = None) -> DataFrame:
+    counts = {"inserted": F.col(scd2.INSERTED_NOW), "closed": F.col(scd2.CLOSED_NOW)}
+    if keyless is not None:
+        counts["keyless"] = keyless
+    return rows.observe(seen, *[F.count_if(c).alias(name) for name, c in counts.items()])
 
 
 def _staged(staging: DataFrame) -> tuple[DataFrame, int]:

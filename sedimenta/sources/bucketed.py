@@ -91,11 +91,12 @@ class BucketedTable:
         writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy(*by).parquet(f"{self.root}/{part}")
 
-    def replace(self, rows: DataFrame, closed: str, run_id: int, reset: bool = False) -> None:
+    def replace(self, rows: DataFrame, closed: str, run_id: int, reset: bool = False, keyless: bool = True) -> None:
         """Store the versions a load closed and put its open rows in place of their buckets.
 
         ``rows`` has all open rows of the buckets it touches, marked by the boolean ``closed``;
-        it is read several times and must be stored. ``reset`` empties the table first.
+        it is read several times and must be stored. ``reset`` empties the table first;
+        ``keyless`` tells whether there may be rows without a complete key.
         """
         spark = rows.sparkSession
         if reset:
@@ -104,7 +105,8 @@ class BucketedTable:
         rows = rows.select(*self.schema.names, closed, F.lit(run_id).cast("long").alias(RUN), self.bucket().alias(BUCKET))
         self._write(rows.where(closed).drop(closed), "closed", RUN, BUCKET)
         kept = rows.where(~F.col(closed)).drop(closed)
-        self._write(kept.where(f"{BUCKET} IS NULL").drop(BUCKET), "keyless", RUN)
+        if keyless:
+            self._write(kept.where(f"{BUCKET} IS NULL").drop(BUCKET), "keyless", RUN)
         self._write(kept.where(f"{BUCKET} IS NOT NULL").drop(RUN), "open", BUCKET)
 
     def adopt(self, history: DataFrame, is_open: Column) -> None:
