@@ -8,7 +8,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from sedimenta.operators import catalog, graph
+from sedimenta.operators import catalog, graph, runlog, substring
 from sedimenta.operators.keyed_join import only_keys_of
 from sedimenta.operators.substring import matching_pairs
 
@@ -132,3 +132,34 @@ def test_many_names_meet_few_texts(spark):
     names = spark.range(5_000).select(F.col("id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
     patterns = names.select(F.substring("text", 20, 12).alias("pattern"))
     assert matching_pairs(names, patterns).count() == 5_000
+
+
+def test_no_text_index_is_broadcast(spark):
+    """A small file of names is a large index, which the driver mustn't hold."""
+    jobs = spark.range(50).select(F.col("id").alias("job_id"), F.concat(F.lit("LOAD_"), "id").alias("job_name"), F.lit("TPT_LOAD").alias("job_type"))
+    runs = spark.createDataFrame([(1, 7, None, "SUCCESS")], "run_id long, job_id long, end_time timestamp, status string")
+    status = runlog.import_status(jobs, runs, ["LOAD_7", "OAD_", "none"])
+    assert [(r[0], r[2], r[3]) for r in rows(status)] == [("LOAD_7", 7, "SUCCESS"), ("OAD_", 0, None), ("none", None, None)]
+    texts, patterns = jobs.select(F.col("job_id").alias("id"), F.col("job_name").alias("text")), jobs.select(F.col("job_name").alias("pattern"))
+    assert "Broadcast" not in matching_pairs(texts, patterns)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_names_of_digits_meet_their_own_texts(spark):
+    """A thousand groups of three digits don't tell many numbers apart; the whole number does."""
+    names = spark.range(100_000, 106_000).select("id", F.concat(F.lit("LOAD_"), F.col("id").cast("string")).alias("text"))
+    patterns = names.select(F.concat(F.lit("LO%_"), F.col("id").cast("string")).alias("pattern"))
+    assert substring._met(names, patterns).count() == 6_000
+    long = spark.createDataFrame([(1, "x" * 30 + "1"), (2, "x" * 30 + "2" + "x" * 30 + "2"), (3, "x" * 15)], "id long, text string")
+    asked = spark.createDataFrame([("x" * 30 + "2",), ("x" * 16,), ("x" * 15,), ("x" * 31,)], "pattern string")
+    assert rows(matching_pairs(long, asked)) == sorted(
+        [("x" * 30 + "2", 2), *[("x" * 16, i) for i in (1, 2)], *[("x" * 15, i) for i in (1, 2, 3)]], key=repr
+    )
+
+
+def test_few_searches_leave_few_groups(spark, monkeypatch):
+    """Texts are indexed by what is looked for, not by all they hold."""
+    texts = spark.range(1_000).select("id", F.concat(F.lit("HOLDS BRAND#"), "id").alias("text"))
+    asked, real = [], substring.one_per_key
+    monkeypatch.setattr(substring, "one_per_key", lambda df, *a: asked.append(df.count()) or real(df, *a))
+    found = matching_pairs(texts, spark.createDataFrame([("BRAND#7",), ("none",)], "pattern string"))
+    assert found.count() == 111 and asked[0] <= 150
