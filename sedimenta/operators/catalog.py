@@ -96,7 +96,8 @@ def search_many(tables: DataFrame, databases: DataFrame, searches: DataFrame) ->
     pairs = matching_pairs(texts, wanted).distinct()
     found = wanted.join(pairs, "pattern").select("search", F.col("id").alias("table_id"))
     named = databases.select("database_id", "database_name")
-    return tables.join(found, "table_id").join(named, "database_id")
+    # Tables from a small file are many rows all the same; they don't go to all tasks.
+    return tables.join(found.hint("merge"), "table_id").join(named, "database_id")
 
 
 def candidates(dictionary: DataFrame, tables: DataFrame, databases: DataFrame) -> DataFrame:
