@@ -73,6 +73,37 @@ def test_a_round_shuffles_its_own_nodes_only(spark):
     assert only_keys_of(seen, ["root_id", "node_id"], near).count() <= 5
 
 
+def test_roots_share_the_rows_of_common_nodes(spark, monkeypatch):
+    """What many roots have in common goes through the rounds once for a block of them."""
+    chain = [(f"c{i + 1}", f"c{i}") for i in range(20)]
+    edges = chain + [("c0", f"m{i}") for i in range(4)] + [(f"m{i % 4}", f"r{i}") for i in range(256)]
+    roots, made, real = [f"r{i}" for i in range(256)], [], graph.folder
+    monkeypatch.setattr(graph, "folder", lambda s, name: made.append(real(s, name)) or made[-1])
+    found = graph.reachable(spark.createDataFrame(edges, EDGE), spark.createDataFrame([(r,) for r in roots], "root_id string"))
+    assert rows(found) == reached(edges, roots)
+    stored = next(path for path in made if "/reached-" in path)
+    assert spark.read.parquet(stored).count() < 1_000 < found.count() == 256 * 23
+
+
+@pytest.mark.parametrize("direction", ["upstream", "downstream", "both"])
+def test_reachable_from_many_roots(spark, monkeypatch, direction):
+    """Several blocks, rows filtered by the round's own nodes, and all directions."""
+    monkeypatch.setattr(graph, "MANY", 0)
+    edges = random_edges(5, 150, 220)
+    turned = [(b, a) for a, b in edges]
+    plain = {"upstream": edges, "downstream": turned, "both": sorted({*edges, *turned})}[direction]
+    roots = sorted({n for e in edges for n in e})
+    assert len(roots) > 128
+    found = graph.reachable(spark.createDataFrame(edges, EDGE), spark.createDataFrame([(r,) for r in roots], "root_id string"), 5, direction)
+    assert rows(found) == reached(plain, roots, 5)
+
+
+def test_missing_and_repeated_ids(spark):
+    edges = spark.createDataFrame([(None, "b"), ("b", "c"), ("b", "c"), ("x", None)], EDGE)
+    roots = spark.createDataFrame([("c",), ("c",), (None,)], "root_id string")
+    assert rows(graph.reachable(edges, roots)) == sorted([("c", "c", 0), ("c", "b", 1), ("c", None, 2), (None, None, 0)], key=repr)
+
+
 def test_levels_of_a_hot_parent(spark):
     edges = spark.range(1, 3000).select(F.lit(0).cast("long").alias("parent_id"), F.col("id").alias("child_id"))
     levels = graph.load_levels(edges, spark.range(3000).withColumnRenamed("id", "node_id"))
