@@ -66,6 +66,17 @@ def test_untouched_roots_are_not_derived_again(spark, monkeypatch):
     assert asked == [[("8",)]]
 
 
+def test_equal_steps_to_a_missing_node_touch_no_root(spark, monkeypatch):
+    """A step without its end is no change where both versions have it."""
+    edges = spark.createDataFrame([(None, "2"), ("2", "3"), ("2", "3")], EDGE)
+    roots = spark.createDataFrame([("3",)], "root_id string")
+    stored = graph.reachable(edges, roots)
+    asked, real = [], graph.reachable
+    monkeypatch.setattr(graph, "reachable", lambda e, r, *a: asked.append(rows(r)) or real(e, r, *a))
+    refreshed = rows(graph.refresh_reachable(stored, edges, edges.distinct(), roots))
+    assert refreshed == rows(stored) == [("3", "2", 1), ("3", "3", 0), ("3", None, 2)] and asked == [[]]
+
+
 def test_a_round_shuffles_its_own_nodes_only(spark):
     """However much was reached, next to nothing of it passes for a small round."""
     seen = spark.range(100_000).select(F.lit("r").alias("root_id"), F.col("id").cast("string").alias("node_id"))
